@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
-_ENCODERS: dict[int, object] = {}
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -40,14 +39,9 @@ def token_lengths(documents: DataFrame, text: str = "text", vocabulary: str = VO
     shared = spark.sparkContext.broadcast(_ranks(vocabulary))
     documents = documents.drop("n_tokens")
 
-    def encoder():
-        if shared.id not in _ENCODERS:
-            _ENCODERS[shared.id] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        return _ENCODERS[shared.id]
-
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder()
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
         for texts in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
