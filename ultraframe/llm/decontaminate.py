@@ -112,7 +112,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _pass(shared, text: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        for batch in batches:
+        for batch in W.slices(batches, text):
             words = W.split(batch.column(text), W.ALNUM)
             n = batch.num_rows
             spans: list[list] = [[] for _ in range(n)]

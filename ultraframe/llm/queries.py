@@ -39,6 +39,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits(histogram(token_lengths(table(spark, sf_dir, "documents").select("text"))))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_mixing, op7_token_counts)}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_mixing, op7_token_counts, op9_substrings)}
 
 ORACLES: dict[str, str] = {}

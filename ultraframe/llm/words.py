@@ -182,3 +182,23 @@ def window_minimum(values: np.ndarray, w: int) -> np.ndarray:
         where[less] = j
         np.minimum(best, now, out=best)
     return where + np.arange(size)
+
+
+def slices(batches, column: str, most: int = 1 << 22):
+    """Record batches cut so that column has about most bytes, one row at least."""
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        ends = np.cumsum(lengths)
+        i = 0
+        while i < batch.num_rows:
+            base = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by keys, the first foremost, and where each run of the first key begins in it."""
+    order = np.lexsort(keys[::-1])
+    head = keys[0][order]
+    return order, np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else np.zeros(0, np.int64)
