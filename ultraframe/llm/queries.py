@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -46,6 +53,23 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_mixing, op7_token_counts, op9_substrings)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_decontaminate, op4_mixing, op7_token_counts, op9_substrings)}
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+        with l as (
+            select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+            from documents where text is not null),
+        w as (
+            select doc_id, i, line, trim(line) as a, lead(trim(line)) over o as b, lead(trim(line), 2) over o as c
+            from l window o as (partition by doc_id order by i)),
+        f as (
+            select doc_id, i, row_number() over (partition by a, b, c order by doc_id, i) as n
+            from w where c is not null and a || b || c <> ''),
+        gone as (select distinct doc_id, i + d as i from f, (values (0), (1), (2)) as t(d) where n > 1),
+        m as (select l.*, gone.i is not null as removed from l left join gone using (doc_id, i))
+        select d.doc_id, count(m.i)::bigint as n_lines, count(*) filter (removed)::bigint as n_removed,
+               sha256(coalesce(string_agg(line, chr(10) order by m.i) filter (not removed), '')) as kept_sha256
+        from documents d left join m using (doc_id) group by d.doc_id
+    """,
+}
