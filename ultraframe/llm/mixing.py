@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import saved
+
 #: Rows that one window of row numbers takes, about.
 CHUNK = 50_000
 #: Most copies of a word, and so the largest target as a multiple of the source.
@@ -49,17 +51,22 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "source_size")
     return out.drop("_place", "_weight", "_full", "_level")
 
 
-def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, chunk: int = CHUNK) -> DataFrame:
-    """documents with size, source_size, target and copies.
+def mix(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", seed: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """documents, whose column size is a bigint, with source_size, target and copies.
+
+    documents is written once to the checkpoint folder and read from there,
+    so that texts are not counted anew for each of the steps.
 
-    Null or empty texts have size 0 and are copied like others of their
-    source, which changes no word count.  A source of size 0 has target 0 and
-    no copies.  Null is a source of its own.  Rows that are alike in id, size
+    A document of size 0 is copied like others of its source, which changes
+    no word count; a null size counts as 0.  A source of size 0 has target 0
+    and no copies.  Null is a source of its own.  Rows that are alike in id, size
     and source share what falls to them; which of them gets it does not
     matter.  Columns named like the added ones are replaced.
     """
-    docs = documents.drop("size", "source_size", "target", "copies")
-    docs = docs.withColumn("size", word_count(F.col(text))).withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string"))))
+    if size != "size":
+        documents = documents.drop("size").withColumnRenamed(size, "size")
+    documents = documents.drop("source_size", "target", "copies").withColumn("size", F.coalesce(F.col("size"), F.lit(0)))
+    docs = saved(documents).withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string"))))
     digits = F.col("size").cast("string")
     docs = docs.withColumn("_band", F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int"))
     docs = docs.withColumn("_part", F.conv(F.substring("_key", 1, 12), 16, 10).cast("bigint"))
@@ -82,7 +89,7 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("_before") + F.col("_row")
     out = out.withColumn("copies", F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset))
-    return out.select(*[c for c in documents.columns if c not in ("size", "source_size", "target", "copies")], "size", "source_size", "target", "copies")
+    return out.select(*documents.columns, "source_size", "target", "copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
