@@ -34,12 +34,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import mix, word_count
 
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mixed.select("doc_id", "size", F.col("source_size").cast("bigint"), "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = score(docs, index)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lengths import histogram, limits, token_lengths
 
@@ -53,7 +62,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_decontaminate, op4_mixing, op7_token_counts, op9_substrings)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_decontaminate, op4_mixing, op6_toxicity, op7_token_counts, op9_substrings, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""

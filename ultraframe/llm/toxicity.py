@@ -30,19 +30,33 @@ from .storage import saved
 EXAMPLES, TERMS = 20_000, 512
 #: A term needs this chi-square, this ratio of odds either way and so many examples.
 CHI_SQUARE, ODDS, LEAST = 24.0, 2.0, 5
+#: Beginnings of words that are terms too, in bytes; words of a copy are compared by their least SHINGLE.
+STEMS, SHINGLE = (5, 7), 3
 BLOCK, K, FIRST_BLOCKS = 128, 16, 8
 #: Votes are weighted 1 / (1 + SOFT - cosine); the prior weighs as much as PRIOR.
 SOFT, PRIOR = 0.05, 0.5
 
 
+def features(words: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and hashes of the words, and of their beginnings of STEMS bytes, by which inflected forms meet."""
+    yield np.arange(len(words.hash)), words.hash
+    for n in STEMS:
+        longer = np.flatnonzero(words.end - words.start > n)
+        yield longer, W.word_hashes(words.data, words.start[longer], words.start[longer] + n, W.ALNUM) ^ np.uint64(n)
+
+
 def terms_in(words: W.Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and count for each term of each text; vocabulary is sorted."""
     if not len(vocabulary) or not len(words.hash):
         return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-    hit = np.flatnonzero(vocabulary[at] == words.hash)
-    row = np.searchsorted(words.first, hit, side="right") - 1
-    pair, count = np.unique(row * len(vocabulary) + at[hit], return_counts=True)
+    hits, terms = [], []
+    for number, value in features(words):
+        at = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
+        hit = vocabulary[at] == value
+        hits.append(number[hit])
+        terms.append(at[hit])
+    row = np.searchsorted(words.first, np.concatenate(hits), side="right") - 1
+    pair, count = np.unique(row * len(vocabulary) + np.concatenate(terms), return_counts=True)
     return pair // len(vocabulary), pair % len(vocabulary), count
 
 
@@ -51,9 +65,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, "text"):
         words = W.split(batch.column("text"), W.ALNUM)
         toxic = np.asarray(batch.column("toxic")).astype(bool)
-        row, size = words.text_of(), len(toxic)
-        order = np.lexsort((row, words.hash))
-        word, row = words.hash[order], row[order]
+        size, found = len(toxic), list(features(words))
+        word, row = np.concatenate([v for _, v in found]), words.text_of()[np.concatenate([n for n, _ in found])]
+        order = np.lexsort((row, word))
+        word, row = word[order], row[order]
         new = np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])]) if len(word) else np.zeros(0, bool)
         word, row = word[new], row[new]
         heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
@@ -61,6 +76,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(word[heads].view(np.int64)), pa.array(np.add.reduceat(toxic[row].astype(np.int64), heads)), pa.array(np.add.reduceat((~toxic[row]).astype(np.int64), heads))], names=["term", "pos", "neg"])
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of SHINGLE words, which copies of a text have in common."""
+    for batch in W.slices(batches, "text"):
+        words = W.split(batch.column("text"), W.ALNUM)
+        found = W.grams(words.hash, SHINGLE)
+        at = np.flatnonzero(W.inside_text(words, SHINGLE))
+        least = W.mix(np.arange(batch.num_rows, dtype=np.uint64))
+        row = np.searchsorted(words.first, at, side="right") - 1
+        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else at
+        if len(heads):
+            least[row[heads]] = np.minimum.reduceat(found[at], heads)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], names=[*batch.schema.names, "least"])
+
+
 def _count_terms(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
@@ -156,7 +185,10 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     some = known.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(examples)
     texts = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # At most `examples` ids of 12 bytes, so the ids go to the texts.
-    taught = saved(texts.join(F.broadcast(some), "_id").select(F.col("_id").cast("bigint").alias("example"), "text", "toxic"))
+    taught = texts.join(F.broadcast(some), "_id").select(F.col("_id").cast("bigint").alias("example"), "text", "toxic")
+    # Many copies of one text would make each of its words look telling; one of them teaches.
+    one = taught.mapInArrow(_copies, "example bigint, text string, toxic int, least bigint").groupBy("least", "toxic")
+    taught = saved(one.agg(F.min(F.struct("example", "text")).alias("x")).select("x.example", "x.text", "toxic"))
     total = taught.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     p, q = int(total.pos), int(total.n - total.pos)
     words = taught.mapInArrow(_count_words, "term bigint, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
