@@ -17,6 +17,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, learn(docs))
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
+    more = (F.size("spans") - F.size("base")).cast("bigint").alias("n_by_context")
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), more)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -68,7 +80,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_decontaminate, op4_mixing, op6_toxicity, op7_token_counts, op9_substrings, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op6_toxicity, op7_token_counts, op9_substrings, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,45 +42,57 @@ GROUP_CHARS, CHUNK = 16_000_000, 1 << 23
 LAST = np.iinfo(np.int64).max
 ENTRY = np.dtype([("label", "<u8"), ("id", "<i8"), ("key", "<i8"), ("at", "<u4")])
 ANYWHERE = 0xFFFFFFFF
-PARTS = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
+PLACE = np.dtype([("key", "<i8"), ("at", "<u4")])
+PARTS = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), ("data", pa.binary())])
 
 
-def _pack(entries: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(entries[n]).tobytes() for n in ENTRY.names))
+def _pack(rows: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names))
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at = len(raw) // ENTRY.itemsize, 0
-    out = np.empty(n, ENTRY)
-    for name in ENTRY.names:
-        size = n * ENTRY[name].itemsize
-        out[name] = np.frombuffer(raw, ENTRY[name], n, at)
-        at += size
+    n, at = len(raw) // kind.itemsize, 0
+    out = np.empty(n, kind)
+    for name in kind.names:
+        out[name] = np.frombuffer(raw, kind[name], n, at)
+        at += n * kind[name].itemsize
     return out
 
 
-def _positions(key: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row for each document with the positions found in it."""
-    if not len(key):
-        return
-    order, heads = W.groups(key, at)
-    key, at = key[order], at[order].astype("<u4")
-    ends = np.append(heads[1:], len(key))
-    own = key[heads]
-    yield pa.record_batch([pa.array((own % buckets).astype(np.int32)), pa.array(own), pa.array([at[s:e].tobytes() for s, e in zip(heads, ends)], pa.binary())], schema=PARTS)
-
-
-def _dealt(entries: np.ndarray, group: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One packed row for each group."""
-    if not len(entries):
+def _dealt(rows: np.ndarray, by: np.ndarray, buckets: int, found: bool) -> Iterator[pa.RecordBatch]:
+    """One packed row for each bucket."""
+    if not len(rows):
         return
-    bucket = (group % np.uint64(buckets)).astype(np.int32)
+    bucket = (by.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[order], bucket[order]
+    rows, bucket = rows[order], bucket[order]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(heads[1:], len(bucket))
-    yield pa.record_batch([pa.array(bucket[heads]), pa.nulls(len(heads), pa.int64()), pa.array([_pack(entries[s:e]) for s, e in zip(heads, ends)], pa.binary())], schema=PARTS)
+    yield pa.record_batch([pa.array(bucket[heads]), pa.array([found] * len(heads)), pa.array([_pack(rows[s:e]) for s, e in zip(heads, ends)], pa.binary())], schema=PARTS)
+
+
+def _positions(key: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Positions found, on their way to the documents."""
+    order = np.lexsort((at, key))
+    rows = np.empty(len(key), PLACE)
+    rows["key"], rows["at"] = key[order], at[order]
+    yield from _dealt(rows, W.mix(rows["key"].view(np.uint64)), buckets, True)
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with all positions found in it."""
+    rows = [_unpack(x, PLACE) for batch in batches for x in batch.column("data").to_pylist()]
+    if rows:
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows["at"], rows["key"]))]
+        key, at = rows["key"], np.ascontiguousarray(rows["at"])
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for i in range(0, len(heads), 10_000):
+            own = heads[i : i + 10_001]
+            ends = np.append(own[1:], len(key)) if len(own) <= 10_000 else own[1:]
+            own = own[: len(ends)]
+            yield pa.record_batch([pa.array(key[own]), pa.array([at[s:e].tobytes() for s, e in zip(own, ends)], pa.binary())], names=["key", "parts"])
 
 
 def _rows(words: W.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +133,7 @@ def _find_prefixes(buckets: int):
             known = by_label[heads[shared]]
             known["at"] = ANYWHERE
             alone = np.sort(order[~member])
-            yield from _dealt(np.concatenate([entries[alone], known]), np.concatenate([entries["label"][alone], known["label"]]), buckets)
+            yield from _dealt(np.concatenate([entries[alone], known]), np.concatenate([entries["label"][alone], known["label"]]), buckets, False)
 
     return run
 
@@ -128,10 +141,10 @@ def _find_prefixes(buckets: int):
 def _gather(batches: Iterator[pa.RecordBatch], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Unpacks entries into found; rows with positions go on as they are."""
     for batch in batches:
-        known = batch.filter(batch.column("key").is_valid())
+        known = batch.filter(batch.column("found"))
         if known.num_rows:
             yield known
-        found += [_unpack(x) for x in batch.filter(batch.column("key").is_null()).column("data").to_pylist()]
+        found += [_unpack(x, ENTRY) for x in batch.filter(pc.invert(batch.column("found"))).column("data").to_pylist()]
 
 
 def _shared_prefixes(buckets: int):
@@ -152,7 +165,7 @@ def _shared_prefixes(buckets: int):
 
 
 def _numbers(parts) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(parts), "<u4")).astype(np.int64)
+    return np.unique(np.frombuffer(parts, "<u4")).astype(np.int64)
 
 
 def _find_labels(buckets: int):
@@ -180,7 +193,7 @@ def _find_labels(buckets: int):
             later = np.zeros(len(order), bool)
             later[order] = entries["id"][order] > least
             yield from _positions(entries["key"][later], entries["at"][later], buckets)
-            yield from _dealt(entries[~later], found[at[~later]], buckets)
+            yield from _dealt(entries[~later], found[at[~later]], buckets, False)
 
     return run
 
@@ -234,20 +247,21 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     words.  A null id counts as larger than all others.  Rows with equal id
     never remove words of each other; each row is judged and returned.
     """
-    docs = documents.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(int(LAST))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(int(LAST))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("id", "text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, chars // GROUP_CHARS)
-    parts = "bucket int, key bigint, data binary"
+    parts = "bucket int, found boolean, data binary"
 
     def round_trip(source: DataFrame, give, take) -> DataFrame:
         sent = source.mapInArrow(give(buckets), parts)
         found = sent.repartition(buckets, "bucket").mapInArrow(take(buckets), parts)
-        return found.groupBy("key").agg(F.collect_list("data").alias("parts"))
+        return found.repartition(buckets, "bucket").mapInArrow(_by_document, "key bigint, parts binary")
 
-    prefixes = round_trip(docs.select("id", "key", "text"), _find_prefixes, _shared_prefixes)
-    labels = round_trip(docs.join(prefixes, "key", "left").select("id", "key", "text", "parts"), _find_labels, _repeats)
-    whole = docs.join(labels, "key", "left").select("doc", "text", "parts")
-    made = f"doc {documents.schema[doc_id].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string"
+    prefixes = round_trip(docs, _find_prefixes, _shared_prefixes)
+    labels = round_trip(docs.join(prefixes, "key", "left"), _find_labels, _repeats)
+    # The same rows of docs as in the join before, so their shuffle is used again.
+    made = "id bigint, n_words bigint, n_removed bigint, kept_text string"
     shape = to_arrow_schema(documents.sparkSession.createDataFrame([], made).schema)
-    return whole.mapInArrow(_kept(shape), made).withColumnRenamed("doc", doc_id)
+    out = docs.join(labels, "key", "left").mapInArrow(_kept(shape), made)
+    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(doc_id), "n_words", "n_removed", "kept_text")
