@@ -52,6 +52,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("source_size").cast("bigint"), "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract
+
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_blocks", "n_kept")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, held_out, score
 
@@ -80,7 +87,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op6_toxicity, op7_token_counts, op9_substrings, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op5_html_extraction, op6_toxicity, op7_token_counts, op9_substrings, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
