@@ -92,7 +92,19 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", si
     return out.select(*documents.columns, "source_size", "target", "copies")
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as it has copies."""
-    own = [c for c in mixed.columns if c != "copies"]
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own, "copy")
+def sample(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1) -> DataFrame:
+    """The mix itself: each document as often as it has copies, numbered from 1 in copy.
+
+    Only ids, sources and sizes go through the sampling; the texts are shuffled
+    once, to meet their numbers of copies.
+    """
+    documents = documents.drop("copy")
+    key = F.xxhash64(doc_id, source, text)
+    slim = documents.select(doc_id, source, word_count(F.col(text)).alias("size"), key.alias("_key_of_row"))
+    mixed = saved(mix(slim, doc_id, source, seed=seed).groupBy("_key_of_row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
+    keyed = documents.withColumn("_key_of_row", key)
+    out = keyed.join(mixed.where("_rows = 1"), "_key_of_row")
+    alike = mixed.where("_rows > 1")
+    if not alike.isEmpty():  # of rows that are alike one stands for all
+        out = out.union(keyed.join(alike, "_key_of_row").dropDuplicates(["_key_of_row"]))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns, "copy")

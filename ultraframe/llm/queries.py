@@ -74,6 +74,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits(histogram(token_lengths(table(spark, sf_dir, "documents").select("text"))))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -87,7 +94,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op5_html_extraction, op6_toxicity, op7_token_counts, op9_substrings, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op5_html_extraction, op6_toxicity, op7_token_counts, op8_nearest_neighbours, op9_substrings, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +19,12 @@ def saved(frame: DataFrame) -> DataFrame:
     """frame, computed and written now; lost executors don't lose it."""
     prepare(frame.sparkSession)
     return frame.checkpoint()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """frame as Parquet in the checkpoint folder, read again."""
+    spark = frame.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)
