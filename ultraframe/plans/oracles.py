@@ -89,7 +89,7 @@ SQL = {
     "price_histogram": "with e as (select min(o_totalprice) as a, max(o_totalprice) as z from orders) select least(floor((o_totalprice - a) / (z - a) * 80), 79)::int as bin, count(*) as n from orders, e group by 1",
     "ultrasonic_summary": f"""with {WINDOWS}, tp as (select clip_id, max(top_freq) as m, max(top_freq) filter (top_freq > 20) as mu from fr where playing group by 1)
         select clip_id, round_even(pua_frame * 100, 0) / 100 as pua_frame, round_even(pua_sec * 100, 0) / 100 as pua_sec, coalesce(np, 0) as n_play_frames, coalesce(nu, 0) as n_ultra_frames,
-               round_even(m, 0)::bigint as max_freq_overall_hz, round_even(mu, 0)::bigint as max_ultrasonic_freq_hz, round(g, 4) as noise_global_db, round(a, 4) as noise_audible_db, round(u, 4) as noise_ultra_db, 'ok' as status
+               round_even(m, 0)::double as max_freq_overall_hz, round_even(mu, 0)::double as max_ultrasonic_freq_hz, round(g, 4) as noise_global_db, round(a, 4) as noise_audible_db, round(u, 4) as noise_ultra_db, 'ok' as status
         from th left join pf using (clip_id) left join ps using (clip_id) left join tp using (clip_id)""",
     "log_mel": f"with {CELLS}, {MEL} select clip_id, t, mel::int as mel, round(v, 6) + 0.0 as log_mel from lm",
     "mfcc": f"with {CELLS}, {MEL} select clip_id, t, c::int as c, round(sum(v * case when c = 0 then sqrt(0.25) else sqrt(0.5) end * cos(pi() * c * (2 * mel + 1) / 8)), 6) + 0.0 as mfcc from lm, range(3) as d(c) group by all",

@@ -138,7 +138,8 @@ def price_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def ultrasonic_summary(spark: SparkSession, sf: str) -> DataFrame:
     found = activity.summary(_db(spark, sf), AUDIBLE, SNR, LEAST, PLAYING, WINDOW)
-    return found.select(*[r(c, 4) if c.startswith("noise") else c for c in found.columns])
+    as_double = lambda c: F.col(c).cast("double").alias(c) if c.startswith("max") else c
+    return found.select(*[r(c, 4) if c.startswith("noise") else as_double(c) for c in found.columns])
 
 
 def log_mel(spark: SparkSession, sf: str) -> DataFrame:
