@@ -74,6 +74,31 @@ def test_neighbours_of_unequal_norms_and_small_leaves(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("spread", ["one large norm", "wide", "clusters"])
+def test_neighbours_ascend_to_enough_candidates(spark, spread):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((3000, 12))
+    if spread == "one large norm":
+        x[1] *= 1000
+    elif spread == "wide":
+        x *= np.exp(r.standard_normal((3000, 1)) * 2)
+    else:
+        x = np.repeat(x[:300], 10, axis=0) + 0.05 * r.standard_normal((3000, 12))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = forest.search(table, table.where("vec_id % 20 = 0"), 20, leaf=128).collect()
+    near = {}
+    for f in found:
+        near.setdefault(f.query_id, set()).add(f.vec_id)
+    hits = 0
+    for q in range(0, 3000, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        assert len(near.get(q, ())) == 20
+        hits += len(near[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 150
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]

@@ -1,24 +1,29 @@
 """Nearest neighbours by a forest of hash prefixes (operator 8).
 
-Each tree hashes every vector to a long string of bits, the signs of random
+Each tree hashes every vector to a string of BITS bits, the signs of random
 projections, and keeps the vectors in the order of their strings, so those with
-a common prefix stand together.  A query descends in all trees at once to the
-longest prefix that still holds enough vectors: prefixes grow from the common
-length by STEP bits only where more than LEAF vectors share them.  All vectors
-under that prefix are candidates, in every tree, and are measured exactly on
-the original vectors.
+a common prefix stand together.  A prefix that more than 2 * leaf vectors share
+is split by its next bit, as far as the strings go; the prefixes that are left
+are the homes of the vectors.  A query descends in each tree to the longest
+prefix that any vector shares and then ascends all trees together, a bit at a
+time, until the homes under its prefixes hold trees * leaf / 2 vectors, and those
+of one tree k + 1, or the prefix is empty.  All vectors in those homes are
+candidates and are measured exactly on the original vectors.
 
-The largest inner product is made an angle by one more component, the
-root of the largest squared norm less the own squared norm; queries have 0 there.
+The largest inner product is made an angle by one more component, the root of
+the largest squared norm less the own squared norm; queries have 0 there.
+Norms are cut into bands of a factor BAND, each with its own trees and largest
+norm, as beside one large norm all others would look alike.  A query visits
+every band; one that is not split is measured in one tree.
 
 Equal vectors are one vector with a list of its smallest ids, so copies cost
-nothing.  A prefix that cannot be lengthened any more is measured in blocks:
-its vectors are dealt out and its queries visit each block.
+nothing.  The homes, about 2 * trees / leaf for each vector, are broadcast.  In
+each home vectors and queries are dealt into blocks, and each pair of blocks is
+measured in one group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +35,10 @@ from pyspark.sql.window import Window
 
 from .storage import saved
 
-#: Trees; vectors under a prefix, about; bits by which a crowded prefix grows, and how often.
-TREES, LEAF, STEP, DEEPER = 16, 4096, 3, 2
+#: Trees; vectors under a prefix, about; bits of a string; factor of the norms of a band.
+TREES, LEAF, BITS, BAND = 16, 4096, 48, 2**0.5
+#: Queries of a block; strings that one task counts.
+QUERIES, STRINGS = 4096, 1 << 20
 SEED = 7
 
 
@@ -51,33 +58,131 @@ def _planes(trees: int, bits: int, width: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((width + 1, trees * bits))
 
 
-def _codes(x: np.ndarray, top: float, trees: int, bits: int) -> np.ndarray:
+def _codes(x: np.ndarray, trees: int, bits: int) -> np.ndarray:
     """For each vector and tree the string of bits as a number."""
-    rest = np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0.0))
-    signs = (np.column_stack([x, rest]) @ _planes(trees, bits, x.shape[1]) > 0).reshape(len(x), trees, bits)
+    signs = (x @ _planes(trees, bits, x.shape[1] - 1) > 0).reshape(len(x), trees, bits)
     return signs.astype(np.int64) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
-def _strings(width: int, top: float, trees: int, bits: int, with_vectors: bool):
+def _stored(x: np.ndarray, top: float, trees: int, bits: int) -> np.ndarray:
+    """For each vector and tree the string behind the number of band and tree."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    band = np.maximum(np.floor(np.log(top / norm) / np.log(BAND)), 0).astype(np.int64)
+    rest = np.sqrt(np.maximum((top / BAND**band) ** 2 - norm * norm, 0.0))
+    return (band[:, None] * trees + np.arange(trees) << bits) + _codes(np.column_stack([x, rest]), trees, bits)
+
+
+def _strings(width: int, top: float, trees: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                strings = _stored(_matrix(whole.slice(at, 512).column("vector"), width), top, trees, bits)
+                yield pa.record_batch([pa.array(strings.ravel())], names=["code"])
+
+    return run
+
+
+def _counted(limit: int, bits: int):
+    """Prefixes of a range of strings, with counts, whose parent may be split; those at its ends go on in other ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.asarray(x.column("code")), np.asarray(x.column("n"))) for x in batches if x.num_rows]
+        if not rows:
+            return
+        code, n = (np.concatenate(c) for c in zip(*rows))
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        parents = None
+        for level in range(bits + 1):
+            prefix = code >> (bits - level)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            heads = np.flatnonzero(new)
+            count = np.add.reduceat(n, heads)
+            keep = np.ones(len(heads), bool) if parents is None else parents[0][parents[1][heads]]
+            yield pa.record_batch([pa.array(np.full(keep.sum(), level, np.int32)), pa.array(prefix[heads][keep]), pa.array(count[keep])], names=["level", "prefix", "n"])
+            open_ones = count > limit
+            open_ones[[0, -1]] = True
+            parents = open_ones, np.cumsum(new) - 1
+
+    return run
+
+
+class Homes:
+    """The homes in the order of their strings: start and end of each, vectors in it, and the longest prefix."""
+
+    def __init__(self, level: np.ndarray, prefix: np.ndarray, n: np.ndarray, limit: int, trees: int, bits: int):
+        start, end, count, above = [], [], [], None
+        self.trees, self.bits, self.deepest = trees, bits, 0
+        for at in range(bits + 1):
+            own, size = prefix[level == at], n[level == at]
+            if above is not None:
+                some = np.isin(own >> 1, above)
+                own, size = own[some], size[some]
+            else:  # The trees of a band that is not split are alike.
+                some = (size > limit) | (own % trees == 0)
+                own, size = own[some], size[some]
+                self.bands = np.unique(own // trees)
+            if not len(own):
+                break
+            self.deepest = at
+            home = (size <= limit) | (at == bits)
+            start.append(own[home] << (bits - at))
+            end.append(own[home] + 1 << (bits - at))
+            count.append(size[home])
+            above = own[~home]
+        order = np.argsort(np.concatenate(start))
+        self.start, self.end, self.count = (np.concatenate(x)[order] for x in (start, end, count))
+        self.total = np.concatenate([[0], np.cumsum(self.count)])
+
+    def of(self, strings: np.ndarray) -> np.ndarray:
+        """The home of each string of a vector, or -1 in trees that are left out."""
+        at = np.searchsorted(self.start, strings, side="right") - 1
+        return np.where((at >= 0) & (strings < self.end[at]), at, -1)
+
+    def asked(self, codes: np.ndarray, wanted: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of codes and the homes that they ask."""
+        rows, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for band in self.bands.tolist():
+            strings = (band * self.trees + np.arange(self.trees, dtype=np.int64) << self.bits) + codes
+            left = np.arange(len(codes))
+            for level in range(self.deepest, -1, -1):
+                low = strings[left] >> (self.bits - level) << (self.bits - level)
+                first = np.searchsorted(self.end, low, side="right")
+                last = np.maximum(np.searchsorted(self.start, low + (1 << (self.bits - level)), side="left"), first)
+                found = self.total[last] - self.total[first]
+                done = (found.sum(axis=1) >= wanted) & (found.max(axis=1) >= least) | (level == 0)
+                n = (last - first)[done].ravel()
+                rows.append(np.repeat(np.repeat(left[done], self.trees), n))
+                homes.append(np.repeat(first[done].ravel(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                left = left[~done]
+                if not len(left):
+                    break
+        return np.concatenate(rows), np.concatenate(homes)
+
+
+def _asked(width: int, shared, wanted: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes: Homes = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                n = batch.num_rows
                 x = _matrix(batch.column("vector"), width)
-                # A query stands at rest 0; as it is also an indexed vector, it is hashed as one, too.
-                strings = _codes(x, top, trees, bits)
-                asked = _codes(x / np.linalg.norm(x, axis=1, keepdims=True) * top, top, trees, bits)
-                tree = np.tile(np.arange(trees, dtype=np.int32), n)
-                again = pa.array(np.repeat(np.arange(n), trees))
-                own = [pa.array(tree), pa.array(strings.ravel())]
-                if not with_vectors:
-                    yield pa.record_batch(own, names=["tree", "code"])
-                    continue
-                yield pa.record_batch([*own, batch.column("key").take(again), pa.array(np.zeros(len(tree), bool)), batch.column("least").take(again), batch.column("vector").take(again)], names=["tree", "code", "key", "asks", "least", "vector"])
-                asking = pa.array(np.repeat(np.asarray(batch.column("asks")), trees))
-                rows = pa.record_batch([pa.array(tree), pa.array(asked.ravel()), batch.column("key").take(again), asking, batch.column("least").take(again), batch.column("vector").take(again)], names=["tree", "code", "key", "asks", "least", "vector"])
-                yield rows.filter(asking)
+                rows, home = homes.asked(_codes(np.column_stack([x, np.zeros(len(x))]), homes.trees, homes.bits), wanted, least)
+                yield pa.record_batch([pa.array(home), batch.column("key").take(pa.array(rows))], names=["home", "key"])
+
+    return run
+
+
+def _housed(width: int, top: float, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes: Homes = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                home = homes.of(_stored(_matrix(batch.column("vector"), width), top, homes.trees, homes.bits))
+                row, tree = np.nonzero(home >= 0)
+                home, row = home[row, tree], pa.array(row)
+                yield pa.record_batch([pa.array(home), batch.column("key").take(row), batch.column("least").take(row), batch.column("vector").take(row)], names=["home", "key", "least", "vector"])
 
     return run
 
@@ -130,32 +235,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     asking = asked.select("key").distinct().withColumn("asks", F.lit(True))
     points = ids.where("place = 1").join(asking, "key", "left").select("key", F.col("id").alias("least"), "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
 
-    common = max(0, math.ceil(math.log2(max(1, n / leaf))))
-    bits = common + STEP * DEEPER
-    cells = saved(points.select("vector").mapInArrow(_strings(width, top, trees, bits, False), "tree int, code bigint").groupBy("tree", "code").agg(F.count("*").alias("n")))
-    sizes = cells
-    for level in range(DEEPER + 1):
-        shift = STEP * (DEEPER - level)
-        prefix = F.shiftright("code", shift)
-        total = F.sum("n").over(Window.partitionBy("tree", prefix))
-        sizes = sizes.withColumn(f"n{level}", total)
-    level = F.lit(DEEPER)
-    for i in range(DEEPER - 1, -1, -1):
-        level = F.when(F.col(f"n{i}") <= 2 * leaf, i).otherwise(level)
-    size = F.when(level == 0, F.col("n0"))
-    for i in range(1, DEEPER + 1):
-        size = size.when(level == i, F.col(f"n{i}"))
-    leaves = sizes.select("tree", "code", level.alias("level"), F.ceil(size / (2 * leaf)).cast("int").alias("blocks"))
-    strings = points.mapInArrow(_strings(width, top, trees, bits, True), "tree int, code bigint, key bigint, asks boolean, least bigint, vector array<float>")
-    at = strings.join(leaves, ["tree", "code"], "left").withColumn("prefix", F.expr(f"shiftright(code, {STEP} * ({DEEPER} - level))"))
-    # A query's string may be one that no vector has; then it descends as far as its prefixes go.
-    ends = leaves.select("tree", "level", F.expr(f"shiftright(code, {STEP} * ({DEEPER} - level))").alias("prefix"), "blocks").distinct()
-    stray = at.where("level is null").drop("level", "prefix", "blocks").withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(DEEPER + 1)])))
-    stray = stray.withColumn("prefix", F.expr(f"shiftright(code, {STEP} * ({DEEPER} - level))")).join(ends, ["tree", "level", "prefix"])
-    placed = at.where("level is not null").unionByName(stray)
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = placed.withColumn("block", F.explode(F.when(F.col("asks"), every).otherwise(F.array(F.pmod("key", "blocks").cast("int")))))
-    near = placed.groupBy("tree", "level", "prefix", "block").applyInPandas(_nearest(width, k + 1), "query bigint, key bigint, least bigint, score double")
+    points = saved(points)
+    spark, limit = vectors.sparkSession, 2 * leaf
+    cells = saved(points.select("vector").mapInArrow(_strings(width, top, trees, BITS), "code bigint").groupBy("code").agg(F.count("*").alias("n")))
+    ranges = max(8, n * trees // STRINGS)
+    nodes = cells.repartitionByRange(ranges, "code").mapInArrow(_counted(limit, BITS), "level int, prefix bigint, n bigint").groupBy("level", "prefix").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(Homes(*(np.asarray(nodes[c]) for c in ("level", "prefix", "n")), limit, trees, BITS))
+    visits = saved(points.where("asks").select("key", "vector").mapInArrow(_asked(width, shared, trees * leaf // 2, k + 1), "home bigint, key bigint"))
+    stored = points.select("key", "least", "vector").mapInArrow(_housed(width, top, shared), "home bigint, key bigint, least bigint, vector array<float>")
+    dealt = lambda c: F.pmod(F.xxhash64("key"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    count = spark.createDataFrame(pa.table({"home": np.arange(len(shared.value.count)), "stored": shared.value.count}))
+    blocks = visits.groupBy("home").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("asking")).join(count, "home")
+    blocks = F.broadcast(saved(blocks.select("home", "asking", F.ceil(F.col("stored") / limit).cast("int").alias("blocks"))))
+    stored = stored.join(blocks, "home").select("home", dealt("blocks").alias("block"), every("asking").alias("part"), "key", F.lit(False).alias("asks"), "least", "vector")
+    visits = visits.join(blocks, "home").select("home", every("blocks").alias("block"), dealt("asking").alias("part"), "key")
+    visits = visits.join(points.where("asks").select("key", "least", "vector"), "key").select("home", "block", "part", "key", F.lit(True).alias("asks"), "least", "vector")
+    near = stored.unionByName(visits).groupBy("home", "block", "part").applyInPandas(_nearest(width, k + 1), "query bigint, key bigint, least bigint, score double")
 
     best = near.groupBy("query", "key").agg(F.max("score").alias("score"), F.min("least").alias("least"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "least")
