@@ -78,6 +78,22 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id) for r in kept) == [(-1, "x"), (-1, "x"), (3, "x"), (4, "x"), (7, "x")]
 
 
+def test_pipeline_stage_links_five_words_at_80_percent(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = []
+    for i in range(8):
+        words = prose(60, 700 + i).split()
+        for edits in (0, 2, 12):  # two edits side by side are near by 5 words and 80, not by 4 and 85
+            rows.append((len(rows), " ".join([*words[:30], *[f"x{i}{j}" for j in range(edits)], *words[30 + edits :]])))
+    thin = brute.groups(rows)
+    monkeypatch.setattr(brute, "shingles", lambda text, own=brute.shingles: own(text, 5))
+    want = brute.groups(rows, 80)
+    assert {i for i in want if want[i][1] == i} < {i for i in thin if thin[i][1] == i}
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SHAPE), "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in sorted(want) if want[i][1] == i]
+
+
 def test_sketch_bounds_the_overlap():
     import numpy as np
 
