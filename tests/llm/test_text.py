@@ -53,9 +53,9 @@ def test_substrings_repeated_rows_null_ids_and_no_rows(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("small, whole", [(32, 2048), (2, 3)])
-def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, small, whole):
-    monkeypatch.setattr(jaccard, "WHOLE", whole)
+@pytest.mark.parametrize("small, cluster", [(32, 2_000_000), (2, 300), (2, 1000)])
+def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, small, cluster):
+    monkeypatch.setattr(jaccard, "CLUSTER", cluster)
     r = random.Random(3)
     copies = []
     for i in range(14):  # a group in which few are within reach of all
@@ -64,7 +64,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, small, whol
             words[j] = f"x{i}{j}"
         copies.append((100 + i, " ".join(words)))
     more = docs.union(spark.createDataFrame(copies, SHAPE))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(more, small=small).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(more, small=small, cluster=cluster).collect()}
     assert got == brute.groups(corpus() + copies)
 
 
@@ -94,6 +94,30 @@ def test_pipeline_stage_links_five_words_at_80_percent(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == [i for i in sorted(want) if want[i][1] == i]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_near_links_equal_brute_force(seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    sets = []
+    for _ in range(6):  # groups around a centre, some of them near to each other
+        centre = r.integers(0, 1 << 62, r.integers(1, 60)).astype(np.uint64)
+        for _ in range(r.integers(1, 40)):
+            own = centre.copy()
+            own[r.random(len(own)) < r.random() * 0.2] = r.integers(0, 1 << 62)
+            sets.append(np.unique(own))
+    sets = [np.array(x, np.uint64) for x in sorted({tuple(x.tolist()) for x in sets})]
+    group = np.sort(r.integers(0, 2, len(sets)))
+    i, j = jaccard.near_links(group, [x.tobytes() for x in sets], 85)
+    want, got = jaccard.Forest(len(sets)), jaccard.Forest(len(sets))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if group[a] == group[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                want.join(np.array([a]), np.array([b]))
+    assert got.join(i, j).all() and got.root.tolist() == want.root.tolist()
+
+
 def test_sketch_bounds_the_overlap():
     import numpy as np
 
