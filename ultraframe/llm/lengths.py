@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import saved
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
 
@@ -49,8 +51,8 @@ def token_lengths(documents: DataFrame, text: str = "text", vocabulary: str = VO
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
-    """n_tokens and n_docs, one row for each length that occurs."""
-    return lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    """n_tokens and n_docs, one row for each length that occurs; written, so that texts are encoded once."""
+    return saved(lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count("*").alias("n_docs")))
 
 
 def limits(histogram: DataFrame) -> DataFrame:
