@@ -4,7 +4,14 @@ A page is a row of text blocks.  A linear classifier gives each block the cost
 of either label, content or boilerplate, as capacities to the two terminals.
 Blocks that follow each other and blocks under one parent are joined by
 smoothness edges, the stronger the nearer they are in the tree.  The maximum
-flow from one terminal to the other separates the page at the least total cost.
+flow from one terminal to the other separates the page at the least total cost:
+a heading or a short paragraph between long ones stays, a long line between
+links goes.
+
+The classifier is fitted on pages that mark their main part with article or main,
+with those marks withheld: each block is counted under what is seen of it, and
+the counts fit the weights around the prior ones.  Where a page has the marks,
+they add to the costs.
 
 Pages are independent, so this is one narrow pass over them.
 """
@@ -17,6 +24,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,37 +36,80 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|style|hidden|aria-hidden)(?![\w
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img button input select option".split())
+CONTROLS = frozenset("button select datalist option optgroup output progress meter".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img button input select datalist option optgroup output progress meter".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-ASIDE = frozenset("nav footer aside form button select menu dialog fieldset search".split())
+ASIDE = frozenset("nav footer aside form menu dialog fieldset search".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form tablist toolbar".split())
-# Words in class and id, and the weights of the classifier.
+# Words in class and id.
 BAD = re.compile(r"(?:^|[^a-z])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|comments?|disqus|replies|reply|respond|sidebar|side-bar|menus?|nav\w*|breadcrumbs?|footer|foot|header|masthead|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|sign-up|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|skip|search\w*|form)(?![a-z])")
 GOOD = re.compile(r"(?:^|[^a-z])(content|article\w*|post|entry|story|main|body|text)(?![a-z])")
-BIAS, IN_MAIN, IN_ASIDE, BAD_NAME, GOOD_NAME, LINKS, PER_WORD, MOST_WORDS = -1.0, 4.0, -12.0, -9.0, 2.0, -4.0, 0.08, 40
-SMOOTH = 1.0
-
-
-@dataclass
-class Block:
-    text: str
-    evidence: float
-    path: tuple[int, ...]
-    words: int
-    linked: int
+#: What is seen of a block, with the prior weight of each; MARKED is what article and main add, and never fitted.
+PRIOR = {"bias": -0.4, "p": 0.9, "heading": 0.5, "item": -0.4, "aside": -12.0, "bad name": -9.0, "good name": 2.0, "some links": -1.0, "most links": -4.0, "1-3 words": -0.8, "4-8 words": -0.2, "20-49 words": 1.0, "50 words": 2.5, "sentence": 0.5}
+MARKED = 4.0
+#: Strength of the smoothness edges between siblings; each step more in the tree halves it.
+SMOOTH = 1.5
+#: Pages that the classifier is fitted on, about; how far the weights may go from the prior, and what all counts weigh together.
+SAMPLE, SPREAD, WEIGHT = 2000, 0.5, 200.0
 
 
 @dataclass
 class Element:
+    """What an element is: aside, bad, good, main or nothing."""
+
     name: str
     number: int
-    evidence: float
-    main: bool
+    above: Element | None
+    kind: str
     hidden: bool
     link: bool
+    control: bool
+
+
+@dataclass
+class Block:
+    text: str
+    element: Element | None
+    path: tuple[int, ...]
+    words: int
+    linked: int
+    layout: bool = False
+
+    def kinds(self) -> set[str]:
+        """Kinds of the elements around it; where all main parts stand in elements of bad names, these are names of the layout."""
+        found, e, inside = set(), self.element, False
+        while e:
+            if e.kind == "main":
+                inside = True
+            if e.kind and not (e.kind == "bad" and inside and self.layout):
+                found.add(e.kind)
+            e = e.above
+        return found
+
+    def seen(self) -> tuple[str, ...]:
+        """What the classifier knows of it, without the marks of the main part."""
+        kinds, out, e = self.kinds(), ["bias"], self.element
+        while e and e.name in INLINE:
+            e = e.above
+        name = e.name if e else ""
+        out += ["p"] if name == "p" else ["heading"] if name in HEADINGS else ["item"] if name in ("li", "td", "th", "dt", "dd") else []
+        if "aside" in kinds:
+            out.append("aside")
+        elif "bad" in kinds:
+            out.append("bad name")
+        elif "good" in kinds:
+            out.append("good name")
+        if self.linked:
+            out.append("most links" if 2 * self.linked >= self.words else "some links")
+        n = self.words
+        out += ["1-3 words"] if n < 4 else ["4-8 words"] if n < 9 else [] if n < 20 else ["20-49 words"] if n < 50 else ["50 words"]
+        if self.text[-1] in ".!?…。\"”»":
+            out.append("sentence")
+        return tuple(out)
 
 
 @dataclass
@@ -66,28 +117,33 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     stack: list[Element] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
+    mains: set[bool] = field(default_factory=set)
     number: int = 0
 
 
-def _evidence(name: str, attributes: str, above: Element | None) -> tuple[float, bool, bool]:
-    """What an element says of the text in it; whether it is in the main part; whether it is not shown."""
-    main, hidden, score = above.main if above else False, above.hidden if above else False, above.evidence if above else 0.0
-    found = {}
+def _element(page: Page, name: str, attributes: str) -> Element:
+    above = page.stack[-1] if page.stack else None
+    found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     role = found.get("role", "")
-    hidden = hidden or name in ("head", "title") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    if name in ASIDE or role in ROLES or name == "header" and not main:
-        score = min(score, IN_ASIDE)
-    names = f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".strip()
-    if names and name not in ("html", "body"):
-        if BAD.search(names) and not (name in MAIN and GOOD.search(names)):
-            score = min(score, BAD_NAME)
-        elif GOOD.search(names) and score >= 0:
-            score = max(score, GOOD_NAME)
-    if (name in MAIN or role in ("main", "article")) and score >= 0:
-        score, main = max(score, IN_MAIN), True
-    return score, main, hidden
+    names = f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".strip() if name not in ("html", "body") else ""
+    kind, around = "", above
+    while around and around.kind != "main":
+        around = around.above
+    if name in ASIDE or role in ROLES or name == "header" and not around:
+        kind = "aside"
+    elif names and BAD.search(names) and not (name in MAIN and GOOD.search(names)):
+        kind = "bad"
+    elif name in MAIN or role in ("main", "article"):
+        kind = "main"
+    elif names and GOOD.search(names):
+        kind = "good"
+    hidden = name in ("head", "title") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    if kind == "main":
+        page.mains.add(any(e.kind == "bad" for e in page.stack))
+    page.number += 1
+    return Element(name, page.number, above, kind, hidden or bool(above and above.hidden), name == "a" or bool(above and above.link), name in CONTROLS or bool(above and above.control))
 
 
 def _flush(page: Page) -> None:
@@ -95,8 +151,8 @@ def _flush(page: Page) -> None:
     if text:
         top = page.stack[-1] if page.stack else None
         if not (top and top.hidden):
-            linked = len("".join(t for t, link in page.parts if link).split())
-            page.blocks.append(Block(text, top.evidence if top else 0.0, tuple(e.number for e in page.stack if e.name not in INLINE), len(text.split()), linked))
+            linked = len(html.unescape("".join(t if link else " " for t, link in page.parts)).split())
+            page.blocks.append(Block(text, top, tuple(e.number for e in page.stack if e.name not in INLINE), len(text.split()), linked))
     page.parts.clear()
 
 
@@ -117,13 +173,14 @@ def _close(page: Page, names, border=frozenset()) -> None:
 
 
 def blocks_of(source: str) -> list[Block]:
-    """The text blocks of a page, in page order."""
+    """The text blocks of a page, in page order, without what form controls hold."""
     page, at = Page(), 0
     while True:
         m = TAG.search(source, at)
         text = source[at : m.start() if m else len(source)]
-        if text:
-            page.parts.append((text, any(e.link for e in page.stack[-4:])))
+        top = page.stack[-1] if page.stack else None
+        if text and not (top and top.control):
+            page.parts.append((text, bool(top and top.link)))
         if not m:
             break
         at = m.end()
@@ -148,19 +205,23 @@ def blocks_of(source: str) -> list[Block]:
             _close(page, {"head"})
         if name not in INLINE:
             _flush(page)
-        if name in VOID:
-            continue
-        above = page.stack[-1] if page.stack else None
-        score, main, hidden = _evidence(name, m[3] or m[6] or "", above)
-        page.number += 1
-        page.stack.append(Element(name, page.number, score, main, hidden, name == "a" or bool(above and above.link)))
+        elif name in CONTROLS:
+            page.parts.append((" ", False))
+        if name not in VOID:
+            page.stack.append(_element(page, name, m[3] or m[6] or ""))
     _flush(page)
+    for b in page.blocks:
+        b.layout = page.mains == {True}
     return page.blocks
 
 
-def leaning(block: Block) -> float:
-    """What calling the block boilerplate costs over what calling it content costs."""
-    return BIAS + block.evidence + LINKS * min(1.0, block.linked / max(1, block.words)) + PER_WORD * min(MOST_WORDS, block.words)
+def leanings(blocks: list[Block], weights: dict[str, float]) -> list[float]:
+    """For each block what calling it boilerplate costs over what calling it content costs."""
+    out = []
+    for b in blocks:
+        kinds = b.kinds()
+        out.append(sum(map(weights.__getitem__, b.seen())) + (MARKED if "main" in kinds and not kinds & {"aside", "bad"} else 0.0))
+    return out
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -178,72 +239,124 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
                 if x != y:
                     break
                 common += 1
-            out.append((j, i, SMOOTH / (1 + len(b.path) + len(blocks[j].path) - 2 * common)))
+            out.append((j, i, SMOOTH * 0.5 ** (len(b.path) + len(blocks[j].path) - 2 * common - 2)))
     return out
 
 
 def minimum_cut(leanings: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source: by maximum flow along shortest augmenting paths.
+    """Which nodes stay with the source, by maximum flow in phases: in each, all shortest paths are filled.
 
     A positive leaning is capacity from the source, a negative one to the sink.
     """
-    left = list(leanings)
+    left, least = list(leanings), 1e-9
     room: list[dict[int, float]] = [{} for _ in left]
     for i, j, w in edges:
         room[i][j] = room[i].get(j, 0.0) + w
         room[j][i] = room[j].get(i, 0.0) + w
     while True:
-        queue = deque(i for i, x in enumerate(left) if x > 1e-12)
-        came = {i: -1 for i in queue}
-        end = -1
-        while queue and end < 0:
+        depth = {i: 0 for i, x in enumerate(left) if x > least}
+        queue, goal = deque(depth), None
+        while queue:
             i = queue.popleft()
+            if goal is not None and depth[i] >= goal:
+                continue
             for j, r in room[i].items():
-                if r > 1e-12 and j not in came:
-                    came[j] = i
-                    if left[j] < -1e-12:
-                        end = j
-                        break
+                if r > least and j not in depth:
+                    depth[j] = depth[i] + 1
+                    if left[j] < -least and goal is None:
+                        goal = depth[j]
                     queue.append(j)
-        if end < 0:
-            return [i in came for i in range(len(left))]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min([left[path[-1]], -left[end], *(room[b][a] for a, b in zip(path, path[1:]))])
-        left[path[-1]] -= flow
-        left[end] += flow
-        for a, b in zip(path, path[1:]):
-            room[b][a] -= flow
-            room[a][b] = room[a].get(b, 0.0) + flow
-
-
-def main_text(source: str) -> tuple[str, int, int]:
-    """Main text, number of blocks, number of kept ones."""
+        if goal is None:
+            return [i in depth for i in range(len(left))]
+        ways = {i: iter(list(room[i])) for i in depth}
+        for start in [i for i, d in depth.items() if d == 0]:
+            path = [start]
+            while path and left[start] > least:
+                i = path[-1]
+                if left[i] < -least:
+                    flow = min([left[start], -left[i], *(room[a][b] for a, b in zip(path, path[1:]))])
+                    left[start] -= flow
+                    left[i] += flow
+                    for a, b in zip(path, path[1:]):
+                        room[a][b] -= flow
+                        room[b][a] = room[b].get(a, 0.0) + flow
+                    ways.update((i, iter(list(room[i]))) for i in path)
+                    path = [start]
+                    continue
+                for j in ways[i]:
+                    if depth.get(j) == depth[i] + 1 and room[i][j] > least:
+                        path.append(j)
+                        break
+                else:
+                    path.pop()
+
+
+def main_text(source: str, weights: dict[str, float] = PRIOR) -> tuple[str, int, int, int]:
+    """Main text, number of blocks, of kept ones, and of those whose label the cut has turned."""
     blocks = blocks_of(source)
-    keep = minimum_cut([leaning(b) for b in blocks], edges_of(blocks))
+    lean = leanings(blocks, weights)
+    keep = minimum_cut(lean, edges_of(blocks))
     kept = [b.text for b, k in zip(blocks, keep) if k]
-    return " ".join(kept), len(blocks), len(kept)
+    return " ".join(kept), len(blocks), len(kept), sum((x > 0) != k for x, k in zip(lean, keep))
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is seen of the blocks of pages that mark their main part, with its label."""
+    for batch in W.slices(batches, "html"):
+        seen, label = [], []
+        for source in batch.column("html").to_pylist():
+            blocks = blocks_of(source)
+            kinds = [b.kinds() for b in blocks]
+            if any("main" in k for k in kinds):
+                seen += ["|".join(b.seen()) for b in blocks]
+                label += ["main" in k and not k & {"aside", "bad"} for k in kinds]
+        yield pa.record_batch([pa.array(seen, pa.string()), pa.array(label, pa.bool_())], names=["seen", "label"])
 
-def _extract(fields: list[str]):
+
+def fit(pages: DataFrame, source: str = "html", page_id: str = "page_id", sample: int = SAMPLE) -> dict[str, float]:
+    """Weights fitted on about `sample` pages, those of least hashed ids.
+
+    Logistic regression on the counts of what is seen of the blocks, with a
+    normal prior around PRIOR; the counts together weigh as WEIGHT blocks, so
+    what the sample lacks keeps its prior weight.  Without marked pages PRIOR
+    comes back.
+    """
+    share = min(1.0, sample / max(1, pages.count()))
+    some = pages.where(F.pmod(F.xxhash64(page_id), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.coalesce(F.col(source), F.lit("")).alias("html"))
+    rows = some.mapInArrow(_counted, "seen string, label boolean").groupBy("seen", "label").count().toArrow().to_pylist()
+    names = list(PRIOR)
+    x = np.array([[float(c in r["seen"].split("|")) for c in names] for r in rows]).reshape(-1, len(names))
+    y, n = np.array([float(r["label"]) for r in rows]), np.array([float(r["count"]) for r in rows])
+    prior = np.array(list(PRIOR.values()))
+    w = prior.copy()
+    if len(rows):
+        n *= min(1.0, WEIGHT / n.sum())
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (n * (y - p)) - (w - prior) / SPREAD**2
+            w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / SPREAD**2, slope)
+    return dict(zip(names, w.tolist()))
+
+
+def _extract(fields: list[str], weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "html"):
-            found = [main_text(x) for x in batch.column("html").to_pylist()]
-            made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())]
-            yield pa.record_batch([batch.column(f) for f in fields] + made, names=[*fields, "text", "n_blocks", "n_kept"])
+            found = [main_text(x, weights) for x in batch.column("html").to_pylist()]
+            made = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3))]
+            yield pa.record_batch([batch.column(f) for f in fields] + made, names=[*fields, "text", "n_blocks", "n_kept", "n_turned"])
 
     return run
 
 
-def extract(pages: DataFrame, source: str = "html") -> DataFrame:
-    """pages without their source column, with text, n_blocks and n_kept.
+def extract(pages: DataFrame, weights: dict[str, float] = PRIOR, source: str = "html") -> DataFrame:
+    """pages without their source column, with text, n_blocks, n_kept and n_turned (labels that the cut has turned).
 
     A null or empty page has an empty text and no blocks.  Columns named like
     the added ones are replaced.
     """
-    rest = [c for c in pages.columns if c not in ("text", "n_blocks", "n_kept", source)]
+    added = ("text", "n_blocks", "n_kept", "n_turned")
+    rest = [c for c in pages.columns if c not in (*added, source)]
     inner = [f"c{i}" for i in range(len(rest))]
     frame = pages.select(*[F.col(c).alias(n) for c, n in zip(rest, inner)], F.coalesce(F.col(source), F.lit("")).alias("html"))
     shape = "".join(f"{n} {pages.schema[c].dataType.simpleString()}, " for c, n in zip(rest, inner))
-    return frame.mapInArrow(_extract(inner), f"{shape}text string, n_blocks bigint, n_kept bigint").withColumnsRenamed(dict(zip(inner, rest)))
+    return frame.mapInArrow(_extract(inner, weights), f"{shape}text string, n_blocks bigint, n_kept bigint, n_turned bigint").withColumnsRenamed(dict(zip(inner, rest)))
