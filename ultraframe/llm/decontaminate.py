@@ -7,23 +7,29 @@ k-grams on both sides, so it yields the same fingerprint on both sides: no
 shared span of WINDOW words can be missed.  Fingerprints that meet are hits;
 a hit is extended word by word, and counts where WINDOW words agree.
 
-The benchmark is the side that is small by nature.  Its fingerprints are
-broadcast in blocks of at most BLOCK_WORDS words, and every block is one
-narrow pass over the documents, without a shuffle.  A larger benchmark takes
-more passes, not more memory.
+The benchmark is the side that is small by nature.  It is broadcast in blocks of
+at most BLOCK_WORDS words; one block is one narrow pass over the documents,
+without a shuffle.  A larger benchmark takes a pass for each block, whose hits
+are written before the next block is read, so one block is in memory at a time.
+
+A window that many items or many places of a document share is one row of a
+block with the list of its items: places and items are not paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
+from .storage import saved
 
 #: Words of a window, and of a k-gram; w follows.
 WINDOW, GRAM = 10, 5
@@ -43,60 +49,50 @@ def winnow(words: W.Words, k: int = GRAM, window: int = WINDOW) -> tuple[np.ndar
 
 
 class Block:
-    """Fingerprints of some benchmark items, with the words to extend hits by."""
+    """Fingerprints and windows of some benchmark items, each once, with the items of each window."""
 
     def __init__(self, ids: list[str | None], column: pa.Array):
         words = W.split(column, W.ALNUM)
-        self.ids, self.hash, self.first = ids, words.hash, words.first
-        at, fp = winnow(words)
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.at = fp[order], at[order]
-        self.item = np.searchsorted(words.first, self.at, side="right") - 1
-        short: dict[int, list[tuple[int, int]]] = {}
-        for i in np.flatnonzero((words.count > 0) & (words.count < WINDOW)):
-            n = int(words.count[i])
-            whole = W.grams(words.hash[words.first[i] : words.first[i] + n], n)[0]
-            short.setdefault(n, []).append((int(whole), int(i)))
-        self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)])) for n, x in short.items()}
-
-
-def _matches(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) with values[i] == table[j]; table is sorted."""
-    low, high = np.searchsorted(table, values, "left"), np.searchsorted(table, values, "right")
-    n = high - low
-    i = np.repeat(np.arange(len(values)), n)
-    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-
-
-def _occurrences(words: W.Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and item of every window of an item that occurs in a text."""
-    starts, ends, items = [], [], []
-    if len(block.fp):
-        at, fp = winnow(words)
-        i, j = _matches(fp, block.fp)
-        p, q, item = at[i], block.at[j], block.item[j]
-        low, high = words.first[np.searchsorted(words.first, p, side="right") - 1], words.first[np.searchsorted(words.first, p, side="right")]
-        ilow, ihigh = block.first[item], block.first[item + 1]
-        reach = range(GRAM - WINDOW, WINDOW)
-        same = np.zeros((len(reach), len(p)), bool)
-        for r, d in enumerate(reach):
-            ok = (p + d >= low) & (p + d < high) & (q + d >= ilow) & (q + d < ihigh)
-            same[r, ok] = words.hash[p[ok] + d] == block.hash[q[ok] + d]
-        for r in range(len(reach) - WINDOW + 1):
-            ok = same[r : r + WINDOW].all(axis=0)
-            starts.append(p[ok] + reach[r])
-            ends.append(p[ok] + reach[r] + WINDOW)
-            items.append(item[ok])
-    for n, (table, item) in block.short.items():
-        found = W.grams(words.hash, n)
-        i, j = _matches(found, table)
-        ok = W.inside_text(words, n)[i]
-        starts.append(i[ok])
-        ends.append(i[ok] + n)
-        items.append(item[j[ok]])
-    if not starts:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(starts), np.concatenate(ends), np.concatenate(items)
+        self.ids = ids
+        self.fp = np.unique(winnow(words)[1])
+        start = np.flatnonzero(W.inside_text(words, WINDOW))
+        found = {WINDOW: (W.grams(words.hash, WINDOW)[start], np.searchsorted(words.first, start, side="right") - 1)}
+        for n in range(1, WINDOW):
+            items = np.flatnonzero(words.count == n)
+            if len(items):
+                found[n] = (W.grams(words.hash, n)[words.first[items]], items)
+        #: By length of window: the hashes, where the items of each begin, and the items.
+        self.windows = {}
+        for n, (value, item) in found.items():
+            pair = np.unique(np.stack([value, item.astype(np.uint64)], axis=1), axis=0)
+            value, first = np.unique(pair[:, 0], return_index=True)
+            self.windows[n] = (value, np.append(first, len(pair)), pair[:, 1].astype(np.int64))
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in the sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
+
+
+def _occurrences(words: W.Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, length and number of every window of the block that occurs in a text."""
+    out = []
+    for n, (table, _, _) in block.windows.items():
+        inside = W.inside_text(words, n)
+        if n == WINDOW:
+            at, fp = winnow(words)
+            met = at[_among(fp, block.fp)[0]]
+            start = np.unique(met[:, None] + np.arange(GRAM - WINDOW, 1))
+            start = start[(start >= 0) & (start < len(inside))]
+        else:
+            start = np.arange(len(inside))
+        start = start[inside[start]]
+        hit, number = _among(W.grams(words.hash, n)[start], table)
+        out.append((start[hit], start[hit] + n, np.full(hit.sum(), n), number[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,29 +105,46 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _found(column: pa.Array, block: Block) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+    """Words of each text, its merged hits and the items they are of."""
+    words = W.split(column, W.ALNUM)
+    spans: list[list] = [[] for _ in range(len(column))]
+    items: list[set] = [set() for _ in range(len(column))]
+    start, end, length, number = _occurrences(words, block)
+    doc = np.searchsorted(words.first, start, side="right") - 1
+    for d, s, e in zip(doc.tolist(), (start - words.first[doc]).tolist(), (end - words.first[doc]).tolist()):
+        spans[d].append((s, e))
+    for d, n, k in np.unique(np.stack([doc, length, number], axis=1), axis=0).tolist():
+        _, first, item = block.windows[n]
+        items[d].update(item[first[k] : first[k + 1]].tolist())
+    names = [sorted({block.ids[k] for k in x if block.ids[k] is not None}) for x in items]
+    return words.count, [_merge(x) for x in spans], names
+
+
 def _pass(shared, text: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
         for batch in W.slices(batches, text):
-            words = W.split(batch.column(text), W.ALNUM)
-            n = batch.num_rows
-            spans: list[list] = [[] for _ in range(n)]
-            items: list[set] = [set() for _ in range(n)]
-            if "hit_spans" in batch.schema.names:
-                for i, (old, had) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist())):
-                    spans[i], items[i] = [(x["start"], x["end"]) for x in old], set(had)
-            start, end, item = _occurrences(words, block)
-            doc = np.searchsorted(words.first, start, side="right") - 1
-            for d, s, e, k in zip(doc.tolist(), (start - words.first[doc]).tolist(), (end - words.first[doc]).tolist(), item.tolist()):
-                spans[d].append((s, e))
-                if block.ids[k] is not None:
-                    items[d].add(block.ids[k])
-            found = {
-                "n_words": pa.array(words.count, pa.int64()),
-                "hit_spans": pa.array([[{"start": s, "end": e} for s, e in _merge(x)] for x in spans], schema.field("hit_spans").type),
-                "hit_items": pa.array([sorted(x) for x in items], schema.field("hit_items").type),
+            count, spans, items = _found(batch.column(text), shared.value)
+            made = {
+                "n_words": pa.array(count, pa.int64()),
+                "hit_spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], schema.field("hit_spans").type),
+                "hit_items": pa.array(items, schema.field("hit_items").type),
             }
-            yield pa.RecordBatch.from_arrays([found[f.name] if f.name in found else batch.column(f.name) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name) for f in schema], schema=schema)
+
+    return run
+
+
+def _hits(shared):
+    """Spans and items of the texts that have any, by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in W.slices(batches, "text"):
+            _, spans, items = _found(batch.column("text"), shared.value)
+            some = [i for i, x in enumerate(spans) if x]
+            spans = pa.array([[{"start": s, "end": e} for s, e in spans[i]] for i in some], kind)
+            yield pa.record_batch([batch.column("key").take(pa.array(some, pa.int64())), spans, pa.array([items[i] for i in some], pa.list_(pa.string()))], names=["key", "spans", "items"])
 
     return run
 
@@ -160,15 +173,34 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
     id is null marks words but is not listed.  Repeated rows are judged each.
     Columns of documents named like the added ones are replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark: SparkSession = documents.sparkSession
     documents = documents.drop(*[f.name for f in ADDED])
-    out = documents
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        kept = T.StructType([f for f in documents.schema.fields] + ADDED)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), text, to_arrow_schema(kept)), kept)
-    return out
+    kept = T.StructType([f for f in documents.schema.fields] + ADDED)
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    first = next(blocks)
+    out = documents.mapInArrow(_pass(spark.sparkContext.broadcast(first), text, to_arrow_schema(kept)), kept)
+    more, key = [], F.xxhash64(F.col(f"`{text}`"))
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        texts = documents.select(key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+        more.append(saved(texts.mapInArrow(_hits(shared), "key bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>").dropDuplicates(["key"])))
+        shared.destroy()
+    if not more:
+        return out
+    # Equal texts have equal hits, so a text stands for all rows that have it.
+    found = reduce(DataFrame.union, more).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    out = out.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), key.alias("key"), *[f.name for f in ADDED]).join(found, "key", "left")
+    none = F.array().cast(SPANS)
+    spans = F.array_sort(F.concat("hit_spans", F.coalesce("spans", none)))
+
+    def add(done, x):
+        last = F.element_at(done, -1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joins = F.when(F.size(done) > 0, x["start"] <= last["end"]).otherwise(False)
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+    items = F.array_sort(F.array_union("hit_items", F.coalesce("items", F.array().cast("array<string>"))))
+    return out.select("d.*", "n_words", F.aggregate(spans, none, add).alias("hit_spans"), items.alias("hit_items"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
