@@ -75,6 +75,8 @@ ALNUM = _classes(_alnum, True)
 #: Whatever is not white space of ASCII; unchanged, and with A-Z as a-z.
 SPACED = _classes(_not_space, False)
 SPACED_FOLDED = _classes(_not_space, True)
+#: Every byte counts.
+BYTES = _classes(lambda b: True, False)
 
 
 @dataclass
