@@ -193,7 +193,7 @@ def _find_labels(buckets: int):
             later = np.zeros(len(order), bool)
             later[order] = entries["id"][order] > least
             yield from _positions(entries["key"][later], entries["at"][later], buckets)
-            yield from _dealt(entries[~later], found[at[~later]], buckets, False)
+            yield from _dealt(entries[~later], entries["label"][~later], buckets, False)
 
     return run
 
@@ -255,8 +255,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     def round_trip(source: DataFrame, give, take) -> DataFrame:
         sent = source.mapInArrow(give(buckets), parts)
-        found = sent.repartition(buckets, "bucket").mapInArrow(take(buckets), parts)
-        return found.repartition(buckets, "bucket").mapInArrow(_by_document, "key bigint, parts binary")
+        found = sent.repartitionById(buckets, "bucket").mapInArrow(take(buckets), parts)
+        return found.repartitionById(buckets, "bucket").mapInArrow(_by_document, "key bigint, parts binary")
 
     prefixes = round_trip(docs, _find_prefixes, _shared_prefixes)
     labels = round_trip(docs.join(prefixes, "key", "left"), _find_labels, _repeats)
