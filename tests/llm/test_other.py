@@ -45,6 +45,48 @@ def test_pages(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
+NAV = "<div><ul><li><a href=/>Home</a></li><li><a href=/a>All the articles of this long and very busy year in one place.</a></li><li><a href=/b>About</a></li></ul></div>"
+LONG = "The river rose for three days, and on the fourth the people of the lower town carried what they had up to the church on the hill."
+SHORT = ["A short one.", "Nine words are what this small paragraph has here.", "What came next"]
+# Main texts of pages without article and main, of different shapes.
+UNMARKED = [
+    (f"<html><body>{NAV}<div><h2>{SHORT[2]}</h2><p>{LONG}</p><p>{SHORT[0]}</p><p>{LONG} {LONG}</p><p>{SHORT[1]}</p><p>{LONG}</p></div><footer><p>{LONG}</p></footer></body></html>", f"{SHORT[2]} {LONG} {SHORT[0]} {LONG} {LONG} {SHORT[1]} {LONG}"),
+    (f"<body><header><p>{LONG}</p></header><div id=content><h1>Head</h1><p>{LONG} <button>Share</button><select><option>One</select> goes on</p><p>{LONG}</p></div><div class='comment-list'><p>{LONG}</p></div>{NAV}", f"Head {LONG} goes on {LONG}"),
+    (f"<body><div class='page has-sidebar'><article><p>{SHORT[0]}</p><aside>{LONG}</aside><p>{LONG}</p></article><div class=sidebar><p>{LONG}</p></div></div>", f"{SHORT[0]} {LONG}"),
+    (f"<body><article><h1>T</h1><p>{LONG}</p><form><p>{LONG}</p></form></article><section class=related><article><p>{LONG}</p></article></section>", f"T {LONG}"),
+]
+
+
+def test_cut_beats_the_costs_alone():
+    for source, want in UNMARKED:
+        assert pages.main_text(source)[0] == want
+    blocks = pages.blocks_of(UNMARKED[0][0])
+    alone = " ".join(b.text for b, x in zip(blocks, pages.leanings(blocks, pages.PRIOR)) if x > 0)
+    assert alone != UNMARKED[0][1] and pages.main_text(UNMARKED[0][0])[3] > 0
+
+
+def test_fitted_costs_give_marked_pages_and_unmarked_ones(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(n)).capitalize() + "."
+    rows, want = [], {}
+    for i in range(60):
+        body = [prose(r.choice([3, 9, 30, 80])) for _ in range(r.randint(1, 9))]
+        want[i] = " ".join([f"Head {i}", *body])
+        inner = f"<h1>Head {i}</h1>" + "".join(f"<p>{x}</p>" for x in body)
+        rows.append((i, "u", f"<body><nav><a>{prose(3)}</a></nav><div class=ad>{prose(20)}</div><article>{inner}</article><footer>{prose(30)}</footer>"))
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    weights = pages.fit(table)
+    assert weights != pages.PRIOR and {x.page_id: x.text for x in pages.extract(table, weights).collect()} == want
+    assert all(pages.main_text(source, weights)[0] == text for source, text in UNMARKED)
+    assert pages.fit(table.limit(0)) == pytest.approx(pages.PRIOR)
+
+
+def test_cut_of_a_long_page_ends():
+    lean = [(-1.0) ** (i // 7) * (1 + i % 3) for i in range(40_000)]
+    edges = [(i - 1, i, 1.0 + i % 2) for i in range(1, len(lean))] + [(i - 9, i, 0.5) for i in range(9, len(lean))]
+    assert len(pages.minimum_cut(lean, edges)) == len(lean)
+
+
 def brute(vectors, k):
     good = [(i, np.array(v, float)) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     return {q: sorted(((-float(x @ v), i) for i, v in good if i != q))[:k] for q, x in good if q % 20 == 0}

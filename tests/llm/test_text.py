@@ -157,17 +157,31 @@ def test_lines_drop_later_runs(spark):
 
 def test_line_runs_equal_brute_force(spark):
     r = random.Random(9)
-    rows = [(i, "\n".join(r.choice("abcde") for _ in range(r.randint(0, 30)))) for i in range(40)]
-    seen, want = set(), {}
-    for i, text in rows:
-        own, gone = text.split("\n"), set()
-        for k in range(len(own) - 2):
-            key = tuple(own[k : k + 3])
-            if any(key) and key in seen:
-                gone |= {k, k + 1, k + 2}
-            seen.add(key)
-        want[i] = "\n".join(x for j, x in enumerate(own) if j not in gone)
-    assert {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(rows, SHAPE)).collect()} == want
+    own = ["a", "b ", " c", "d e f", "", " ", "é é", "w " * 12, "x " * 19 + "y", "v " * 30]
+    rows = [(r.choice([i, i, i, 7, None]), "\n".join(r.choice(own) for _ in range(r.randint(0, 30)))) for i in range(60)]
+    rows += [(100, "v " * 30), (101, "one\n" + "v " * 30), (102, "z " * 11 + "\n" + "t " * 10), (103, "q\n" + "z " * 11 + "\n" + "t " * 10)]
+    rows = sorted(set(rows), key=lambda x: str(x))
+
+    def removed(rank):
+        seen, gone = {}, {x: set() for x in rows}
+        for row in rows:
+            lines = [x.strip(" ") for x in row[1].split("\n")]
+            n = [len(x.split()) for x in lines]
+            for s in range(len(lines)):
+                for k in (1, 2, 3):
+                    if s + k <= len(lines) and any(lines[s : s + k]) and (k == 3 or sum(n[s : s + k]) >= 20) and (sum(n[s : s + k - 1]) < 20 or sum(n[s + 1 : s + k]) < 20):
+                        seen.setdefault(tuple(lines[s : s + k]), []).append((rank(row), s, row, k))
+        for places in seen.values():
+            for _, s, row, k in sorted(places)[1:]:
+                gone[row] |= set(range(s, s + k))
+        return gone
+
+    keys = {(x.doc_id, x.text): x.k for x in spark.createDataFrame(rows, SHAPE).withColumn("k", F.xxhash64(F.coalesce("doc_id", F.lit(lines.LAST)), "text")).collect()}
+    gone = removed(lambda x: (x[0] is None, x[0] or 0, keys[x]))
+    table = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], SHAPE + ", key long").repartition(5)
+    got = {rows[x.key]: (x.text, x.n_removed) for x in dedup_lines(table).collect()}
+    assert got == {x: ("\n".join(y for j, y in enumerate(x[1].split("\n")) if j not in gone[x]), len(gone[x])) for x in rows}
+    assert sum(map(len, gone.values())) > 50 and gone[103, rows[[y[0] for y in rows].index(103)][1]] == {1, 2}
 
 
 def test_mixing(spark):
@@ -199,7 +213,7 @@ def test_targets_stop_at_three_times(spark):
 def test_pii_base_patterns(spark):
     rows = ["mail a.b@c.de, a@b@c.org x@y", "1.2.3.4 300.1.1.1 1.2.3.4.5 01.02.03.004", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (988) 555-2485 +12 +1234567890123456", "é 10.0.0.1 z@z.z", None, "", "@" * 50 + "a@b.c" + "9" * 60]
     table = spark.createDataFrame(list(enumerate(rows)), SHAPE).withColumn("spans", F.lit(0))
-    got = {r.doc_id: [tuple(x) for x in r.base] for r in pii.find(table, spark.createDataFrame([], "pattern string, kind string, score double")).collect()}
+    got = {r.doc_id: [tuple(x) for x in r.base] for r in pii.find(table).collect()}
     for i, text in enumerate(rows):
         t = text or ""
         digits = lambda m: re.sub("[^0-9]", "", m[0])
@@ -208,15 +222,26 @@ def test_pii_base_patterns(spark):
         want += [("card", *m.span()) for m in pii.CARD.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
         want += [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
         assert got[i] == want, text
-    assert pii.find(empty(spark), pii.learn(empty(spark))).count() == 0
+    assert pii.find(empty(spark)).count() == 0
 
 
 def test_pii_contexts_find_unseen_identifiers(spark):
-    known = [f"please call me at +1 (555) 010-{i:04d} soon" for i in range(30)]
-    new = ["please call me at 555.0199.77 soon", "the year was in 1999.5000 then"]
+    known = [f"please call me at +1 (555) 010-{i:04d} soon, friend" for i in range(30)]
+    known += [f"write to box{i}@x{i}.org or so" for i in range(8)]
+    new = ["please call me at 555 019 9776 soon, friend", "the year was in 1999.5000 then", "write to joe2@local or so", "call me at 555.0199.77", f"{'x' * 500} at 5550-1234 {'y' * 500}"]
     table = spark.createDataFrame(list(enumerate(known + new)), SHAPE)
-    got = {r.doc_id: [x.kind for x in r.spans] for r in pii.find(table, pii.learn(table)).collect()}
-    assert got[30] == ["phone"] and got[31] == [] and got[0] == ["phone"]
+    got = {r.doc_id: [(x.kind, (known + new)[r.doc_id][x.start : x.end]) for x in r.spans] for r in pii.find(table).collect()}
+    assert got[38] == [("phone", "555 019 9776")] and got[39] == [] and got[40] == [("email", "joe2@local")] and got[41] == [("phone", "555.0199.77")] and got[42] == []
+    assert [k for k, _ in got[0]] == ["phone"] and [k for k, _ in got[30]] == ["email"]
+
+
+def test_pii_instances_induce_patterns(spark):
+    rows = [f"call me at +1 (555) 010-{i:04d} today" for i in range(9)]
+    rows += [f"call me at 77-{i}-77 today" for i in range(2)] + [f"pager: no {k} 77-{i}-77 it is" for i in range(2) for k in "ab"]
+    edges = [(f"p{k}", f"s{i}", "phone") for i in range(8) for k in range(1)] + [("p0", f"n{i}", None) for i in range(1)]
+    edges += [("p1", f"s{i}", "phone") for i in range(4)] + [("p1", "n0", None), ("p2", "n0", None), ("p2", "m", None)] + [("p3", f"s{i}", None) for i in range(5)] + [("p3", "z", None)]
+    got = {r.pattern: r.kind for r in pii.learn(spark.createDataFrame(edges, "pattern string, instance string, kind string")).collect()}
+    assert got == {"p0": "phone", "p1": "phone"} and pii.find(spark.createDataFrame(list(enumerate(rows)), SHAPE)).count() == len(rows)
 
 
 def test_toxicity_learns_and_ranks(spark):
@@ -238,20 +263,34 @@ def test_toxicity_learns_and_ranks(spark):
     assert toxicity.score(empty(spark), index).count() == 0
 
 
-def test_toxicity_nearest_is_exact(spark):
+def test_toxicity_equals_brute_force():
     import numpy as np
+    import pyarrow as pa
 
     r = np.random.default_rng(2)
-    w = np.where(r.random((20, 1024)) < 0.2, r.random((20, 1024)), 0)
-    w /= np.maximum(np.linalg.norm(w, axis=0), 1e-9)
-    index = toxicity.Index(np.arange(20, dtype=np.uint64), np.ones(20), w, w.reshape(20, -1, toxicity.BLOCK).max(axis=2), np.zeros(1024), np.arange(1024), 0.1, 0.1)
-    for _ in range(20):
-        terms = np.sort(r.choice(20, 4, replace=False))
-        q = r.random(4)
-        q /= np.linalg.norm(q)
-        cosine = q @ w[terms]
-        ids, found = index.nearest(terms, q)
-        assert ids.tolist() == np.lexsort((np.arange(1024), -cosine))[: toxicity.K].tolist() and np.allclose(found, cosine[ids])
+    texts = [{int(t): int(r.integers(1, 4)) for t in r.choice(300, r.integers(0, 40), replace=False)} for _ in range(900)]
+    toxic = (r.random(900) < 0.2).astype(float)
+    rows = pa.table({"example": pa.array(np.arange(900)), "toxic": pa.array(toxic.astype(np.int32)), "terms": pa.array([sorted(x) for x in texts], pa.list_(pa.int64())), "counts": pa.array([[x[t] for t in sorted(x)] for x in texts], pa.list_(pa.int32()))})
+    df = np.array([sum(t in x for x in texts) for t in range(300)], float)
+    index = toxicity._index(rows, lambda v: (df[v.astype(np.int64)], 1000), toxic.mean())
+    weight = {}
+    for t in range(300):
+        a, b = (sum(y == k for x, y in zip(texts, toxic) if t in x) + 0.5 for k in (1, 0))
+        p, q = a / (toxic.sum() + 1), b / (900 - toxic.sum() + 1)
+        weight[t] = (np.log(1001 / (df[t] + 1)) + 1) * np.log(p * (1 - q) / (q * (1 - p))) ** 2 / (1 / a + 1 / b)
+    dense = np.array([[(1 + np.log(x[t])) * weight[t] if t in x else 0 for t in range(300)] for x in texts])
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
+    for _ in range(30):
+        terms = np.sort(r.choice(300, r.integers(1, 30), replace=False))
+        counts = r.integers(1, 4, len(terms))
+        own = np.array([(1 + np.log(c)) * weight[t] for t, c in zip(terms, counts)])
+        cosine = dense[:, terms] @ (own / np.linalg.norm(own))
+        best = np.argsort(-cosine, kind="stable")[: toxicity.K]
+        votes = 1 / (1 + toxicity.SOFT - cosine[best])
+        want = (votes @ toxic[best] + toxicity.PRIOR * toxic.mean()) / (votes.sum() + toxicity.PRIOR)
+        at = np.searchsorted(index.vocabulary, terms.astype(np.uint64))
+        got, near = index.raw(at, counts)
+        assert abs(got - want) < 1e-4 and np.allclose(np.sort(cosine[near]), np.sort(cosine[best]), atol=1e-5)
 
 
 def test_token_limits(spark):
