@@ -3,8 +3,9 @@
 import pytest
 from oracle import SF, connect, rows
 
-from ultraframe.plans.oracles import SQL
-from ultraframe.plans.queries import QUERIES
+from ultraframe.plans import model, oracles, queries
+
+SQL, QUERIES = {**oracles.SQL, **model.SQL}, {**queries.QUERIES, **model.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

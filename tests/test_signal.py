@@ -156,13 +156,63 @@ def test_wav_round_trip(spark, tmp_path):
     assert heads.count() == 2 and audio.readable(heads).first()["n_frames"] == 100
     got = audio.decode(found).first()
     assert got["class"] == "tone" and np.allclose(got["samples"], x, atol=1e-4)
-    assert len(audio.decode(found, end_s=0.005).first()["samples"]) == 40
-
-
-def test_stream_equals_batch(spark):
-    from ultraframe.plans.queries import stream_share
-    from ultraframe.streaming.activity import windowed_share
-
-    whole = {(r.start, r.event_type): (r.n_play, r.share) for r in windowed_share(tables.table(spark, SF, "events"), 20.0, 60.0).collect()}
-    for r in stream_share(spark, SF).collect():
-        assert whole[r.start, r.event_type] == (r.n_play, r.share)
+    assert len(audio.decode(found, 0.0, 0.005).first()["samples"]) == 40 and len(audio.decode(found, end_s=0.005).first()["samples"]) == 100
+    assert np.allclose(audio.decode(found, samples=(10, 20)).first()["samples"], x[10:20], atol=1e-4)
+    assert audio.recordings(spark, f"{tmp_path}/none").count() == 0 and audio.recordings(spark, f"{tmp_path}/tone/a.wav").count() == 1
+    assert audio.listed(spark, [str(tmp_path), f"{tmp_path}/tone"]).count() == 2 and audio.evaluated(spark, str(tmp_path)).count() == 2
+
+
+def test_damaged_header_falls_back(spark, tmp_path):
+    x = np.sin(np.arange(50) / 5) * 0.5
+    whole = audio.encode(clip(spark, x), 8000).first()["content"]
+    (tmp_path / "a.wav").write_bytes(whole[:20] + b"\xff\xff" + whole[22:])
+    found = audio.scan(spark, str(tmp_path))
+    assert audio.decode(found).count() == 0 and np.allclose(audio.decode(found, fallback=True).first()["samples"], x, atol=1e-4)
+
+
+def test_files_become_spectra_at_one_rate(spark, tmp_path):
+    tone = np.sin(2 * np.pi * 500 * np.arange(800) / 8000) * 0.5
+    audio.write(audio.encode(clip(spark, tone).withColumn("name", F.lit("a/x.wav")), 8000), str(tmp_path))
+    got = audio.spectrum_of(audio.scan(spark, str(tmp_path)), 4000, 64, 16).where("t = 10").first()
+    assert int(np.argmax(got["mag"])) == 8  # 500 Hz of 62.5 Hz bins
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.5, None), ("b,c", 2.0, "x")], "name string, v double, note string")
+    read = lambda folder: "\n".join(p.read_text() for p in sorted(tmp_path.joinpath(folder).glob("part-*")))
+    audio.write_report(rows, str(tmp_path / "r"))
+    assert read("r").startswith("\ufeffname,v,note\n") and '"b,c",2.0,x' in read("r")
+    audio.write_report(rows, str(tmp_path / "j"), "json")
+    assert '{"name":"a","v":1.5}' in read("j")
+    audio.write_report(rows, str(tmp_path / "t"), "text")
+    assert f"{'a':<20}{'1.5':<20}" in read("t")
+    (tmp_path / "file").write_text("")
+    assert audio.write_report(rows, str(tmp_path / "file" / "r"), other=str(tmp_path / "second")) == str(tmp_path / "second")
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from ultraframe.operators import learn
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, i % 2, (rng.standard_normal(4) + 3 * (i % 2)).tolist(), True) for i in range(60)], "clip_id bigint, class int, samples array<double>, is_train boolean")
+    for name in learn.REGISTRY:
+        model = learn.train(rows, name, width=4, classes=2)
+        learn.save(model, str(tmp_path / name))
+        again = learn.predict(learn.load(name, str(tmp_path / name)), rows)
+        assert again.where(learn.predicted(F.col("scores")) == F.col("class")).count() > 55
+
+
+def test_separated_sources_add_up(spark):
+    from ultraframe.plans.queries import _cells, _parts
+
+    cells, parts = _cells(spark, SF).where("clip_id < 2"), _parts(spark, SF).where("clip_id < 2")
+    back = separation.separated(cells, separation.soft_mask(parts), tables.N_FFT, tables.HOP).groupBy("clip_id", "n").agg(F.sum("x").alias("x"))
+    x = {r.clip_id: r.samples for r in tables.clips(spark, SF).where("clip_id < 2").collect()}
+    assert all(abs(r.x - x[r.clip_id][r.n]) < 1e-6 for r in back.where("x is not null").collect())
+
+
+@pytest.mark.parametrize("bad", [(0, 16, 4, 0, None), (64, 15, 4, 0, None), (64, 16, 0, 0, None), (64, 16, 4, 40, None), (64, 16, 4, 0, 33)])
+def test_config_is_checked(bad):
+    with pytest.raises(ValueError):
+        spectral.check_config(*bad)
+    spectral.check_config(64, 16, 4)

@@ -76,7 +76,7 @@ def top_frequency(frames: DataFrame) -> DataFrame:
 
 def histogram(frame: DataFrame, value: str, bins: int = 80) -> DataFrame:
     """bin and n over equal widths between the least and largest finite value, which is in the last bin."""
-    finite = frame.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).alias("v"))
+    finite = frame.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf"))).select(F.col(value).alias("v"))
     ends = finite.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     place = F.coalesce(F.least(F.floor((F.col("v") - F.col("low")) / width * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
@@ -103,3 +103,10 @@ def summary(cells: DataFrame, audible: float = AUDIBLE_HZ, snr_db: float = SNR_D
         "noise_ultra_db",
         "status",
     )
+
+
+def overlay(cells: DataFrame, floors: DataFrame, frames: DataFrame, audible: float = AUDIBLE_HZ) -> DataFrame:
+    """clip_id, t, k, mag_db, mask: ultrasonic cells over their threshold in playing frames, as a plot shows them."""
+    joined = cells.join(floors.select("clip_id", "ultra_threshold_db"), "clip_id").join(frames.select("clip_id", "t", "playing"), ["clip_id", "t"])
+    mask = F.col("playing") & (F.col("freq") > audible) & (F.col("mag_db") > F.col("ultra_threshold_db"))
+    return joined.select("clip_id", "t", "k", "mag_db", F.coalesce(mask, F.lit(False)).alias("mask"))

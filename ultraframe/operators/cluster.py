@@ -6,24 +6,28 @@ over time.  There are about ten of them; the pairs are of components, not rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import clip
+from .spectral import log_mel, mfcc, population_skew, shape
 
 
-def pair_sums(x: DataFrame) -> DataFrame:
-    """a, b and the sums that cosines and correlations need, for a <= b."""
-    a, b = x.select(F.col("k").alias("a"), "i", F.col("x").alias("xa")), x.select(F.col("k").alias("b"), "i", F.col("x").alias("xb"))
-    both = a.join(b, "i").where("a <= b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("xa").alias("sa"), F.sum("xb").alias("sb"), F.sum(F.col("xa") * F.col("xa")).alias("saa"), F.sum(F.col("xb") * F.col("xb")).alias("sbb"), F.sum(F.col("xa") * F.col("xb")).alias("sab"))
+def pair_sums(x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of by, a, b and the sums that cosines and correlations need, for a <= b."""
+    a, b = x.select(*by, F.col("k").alias("a"), "i", F.col("x").alias("xa")), x.select(*by, F.col("k").alias("b"), "i", F.col("x").alias("xb"))
+    both = a.join(b, [*by, "i"]).where("a <= b")
+    return both.groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.sum("xa").alias("sa"), F.sum("xb").alias("sb"), F.sum(F.col("xa") * F.col("xa")).alias("saa"), F.sum(F.col("xb") * F.col("xb")).alias("sbb"), F.sum(F.col("xa") * F.col("xb")).alias("sab"))
 
 
-def cosine_affinity(x: DataFrame) -> DataFrame:
+def cosine_affinity(x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     cosine = F.col("sab") / F.nullif(F.sqrt("saa") * F.sqrt("sbb"), F.lit(0.0))
-    return pair_sums(x).select("a", "b", ((F.coalesce(cosine, F.lit(0.0)) + 1) / 2).alias("weight"))
+    return pair_sums(x, by).select(*by, "a", "b", ((F.coalesce(cosine, F.lit(0.0)) + 1) / 2).alias("weight"))
 
 
 def correlation_affinity(x: DataFrame) -> DataFrame:
@@ -125,12 +129,36 @@ def cluster_kmeans(rows: DataFrame, columns: str, n: int, seed: int = 42) -> Dat
 
 
 def cluster_sums(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """cluster, i and the sum of x, with how many components there are."""
-    return long.join(labels, "k").groupBy("cluster", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-
-
-def standardized(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns less their mean, over their population deviation; a constant column becomes 0."""
-    stats = frame.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    out = frame.crossJoin(F.broadcast(stats))  # one row
-    return out.select(*[c for c in frame.columns if c not in columns], *[F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
+    """cluster, i and the sum of x over the components (k, i, x) that labels (k, cluster) put in it."""
+    return long.join(labels, "k").groupBy("cluster", "i").agg(F.sum("x").alias("x"))
+
+
+def members(activations: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster, its components in order, how many they are, and the energy of their activations."""
+    energy = activations.groupBy("k").agg(F.sum(F.col("x") * F.col("x")).alias("e"))
+    return energy.join(labels, "k").groupBy("cluster").agg(F.array_sort(F.collect_list("k")).alias("components"), F.count("*").alias("n"), F.sum("e").alias("energy"))
+
+
+def features(spectra: DataFrame, activations: DataFrame, rate: int, n_fft: int, mels: int, keep: int) -> DataFrame:
+    """k, name, x: cepstra, centroid, rolloff, flatness, skew and correlations of components, each feature standardized.
+
+    spectra and activations are (k, i, x) over bins and over frames.
+    """
+    cells = spectra.select(F.col("k").alias("clip_id"), F.lit(0).alias("t"), F.col("i").alias("k"), (F.col("i") * float(rate) / n_fft).alias("freq"), F.col("x").alias("mag"))
+    row = lambda frame, key, name, value: frame.select(F.col(key).alias("k"), name.alias("name"), value.alias("x"))
+    mfccs = mfcc(log_mel(cells, rate, n_fft, mels), mels, keep)
+    shapes = shape(cells)
+    parts = [row(mfccs, "clip_id", F.concat(F.lit("mfcc_"), F.col("c")), F.col("mfcc"))]
+    parts += [row(shapes, "clip_id", F.lit(c), F.col(c)) for c in ("centroid", "rolloff", "flatness")]
+    parts.append(row(population_skew(activations, "k", "x"), "k", F.lit("skew"), F.col("skew")))
+    pairs = correlation_affinity(activations).withColumn("r", 2 * F.col("weight") - 1)
+    parts.append(row(pairs, "a", F.concat(F.lit("corr_"), F.col("b")), F.col("r")))
+    parts.append(row(pairs.where("a < b"), "b", F.concat(F.lit("corr_"), F.col("a")), F.col("r")))
+    return standardized(reduce(DataFrame.unionByName, parts))
+
+
+def standardized(long: DataFrame) -> DataFrame:
+    """k, name, x with each feature less its mean, over its population deviation; a constant one becomes 0."""
+    w = Window.partitionBy("name")
+    spread = F.stddev_pop("x").over(w)
+    return long.select("k", "name", F.when(spread > 1e-12, (F.col("x") - F.avg("x").over(w)) / spread).otherwise(0.0).alias("x"))

@@ -61,3 +61,8 @@ def class_report(preds: DataFrame, labels: DataFrame) -> DataFrame:
     macro = own.agg(F.lit("macro avg").alias("name"), *[F.avg(c).alias(c) for c in measures], F.sum("support").alias("support"))
     weighted = own.agg(F.lit("weighted avg").alias("name"), *[F.coalesce(ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(c) for c in measures], F.sum("support").alias("support"))
     return own.select(F.col("class").cast("string").alias("name"), *measures, "support").union(macro).union(weighted)
+
+
+def mean_batch_loss(losses: DataFrame, batch: str = "batch", loss: str = "loss") -> DataFrame:
+    """loss and n: the mean over batches of each one's mean, so a short batch counts as much as a full one."""
+    return losses.groupBy(batch).agg(F.avg(loss).alias("_l")).agg(F.avg("_l").alias("loss"), F.count("*").alias("n"))

@@ -89,3 +89,9 @@ def mixup(frame: DataFrame, lam: float) -> DataFrame:
     """Mixes the row of place i of a batch with that of place n - 1 - i; columns batch, place, batch_size, samples."""
     other = frame.select("batch", (F.col("batch_size") - 1 - F.col("place")).alias("place"), F.col("samples").alias("_other"))
     return frame.join(other, ["batch", "place"]).withColumn("samples", F.zip_with("samples", "_other", lambda a, b: a * lam + b * (1 - lam))).drop("_other")
+
+
+def shuffled(frame: DataFrame, key: str, group: str, seed: int) -> DataFrame:
+    """frame with place: a new order of each group's rows, the same for the same seed; an epoch takes the next seed."""
+    order = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
+    return frame.withColumn("place", F.row_number().over(order))

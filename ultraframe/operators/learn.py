@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ REGISTRY = {
     "perceptron": lambda width, classes, seed: MultilayerPerceptronClassifier(layers=[width, 32, classes], maxIter=50, seed=seed),
 }
 
+LOADERS = {"logistic": LogisticRegressionModel, "perceptron": MultilayerPerceptronClassificationModel}
+
 
 def train(rows: DataFrame, name: str = "logistic", features: str = "samples", label: str = "class", width: int = 64, classes: int = 10, seed: int = 42):
     data = rows.where("is_train").select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
@@ -31,7 +33,7 @@ def scores_as_logits(rows: DataFrame, batch: str, scores: str = "scores") -> Dat
     """Scores of batches that lie within [0, 1] as logits; others stay as they are."""
     w = Window.partitionBy(batch)
     low, high = F.min(F.array_min(scores)).over(w), F.max(F.array_max(scores)).over(w)
-    return rows.withColumn(scores, F.when((low >= 0) & (high <= 1), F.transform(scores, logit)).otherwise(F.col(scores)))
+    return rows.withColumn(scores, F.when((low >= 0) & (high <= 1), F.transform(scores, lambda p: logit(p))).otherwise(F.col(scores)))
 
 
 def predicted(scores: Column) -> Column:
@@ -43,3 +45,13 @@ def best_so_far(epochs: DataFrame, run: str = "run") -> DataFrame:
     """epochs (run, epoch, accuracy) with saved: whether accuracy exceeds 0 and all before."""
     before = Window.partitionBy(run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     return epochs.withColumn("saved", F.col("accuracy") > F.coalesce(F.greatest(F.max("accuracy").over(before), F.lit(0.0)), F.lit(0.0)))
+
+
+def save(model, path: str) -> None:
+    """Writes a fitted model, over another one."""
+    model.write().overwrite().save(path)
+
+
+def load(name: str, path: str):
+    """The model of a registered name from a folder."""
+    return LOADERS[name].load(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,3 +39,37 @@ def attention(frames: DataFrame, limit: float = 10.0, by: str = "clip_id") -> Da
 def head(frames: DataFrame, by: str = "clip_id") -> DataFrame:
     """Largest and mean over time, added."""
     return frames.groupBy(by).agg((F.max("x") + F.avg("x")).alias("x"))
+
+
+def decision_level(frames: DataFrame, how: str, ratio: int, length: int, weight: float, bias: float, by: str = "clip_id") -> tuple[DataFrame, DataFrame]:
+    """Scores of a clip and of its frames: three neighbours pooled, a linear layer and sigmoid, then the largest or mean over time.
+
+    `max` leaves out the last frame of the clip; frames are repeated ratio times and padded to length.
+    """
+    pooled = max_avg3(frames, by)
+    if how == "max":
+        pooled = pooled.withColumn("_last", F.max("t").over(Window.partitionBy(by))).where("t < _last").drop("_last")
+    scored = pooled.select(by, "t", sigmoid(F.col("x") * weight + bias).alias("x"))
+    clips = scored.groupBy(by).agg((F.max("x") if how == "max" else F.avg("x")).alias("score"))
+    return clips, upsample(scored, ratio, length, by)
+
+
+def batch_norm(frame: DataFrame, stats: DataFrame, key: str, value: str, eps: float = 1e-5) -> DataFrame:
+    """value less the mean of its channel, over its deviation, scaled and moved: stats has key, mean, var, gain and shift, a row a channel."""
+    out = frame.join(F.broadcast(stats), key)  # a row for each channel, such as 64
+    return out.withColumn(value, (F.col(value) - F.col("mean")) / F.sqrt(F.col("var") + eps) * F.col("gain") + F.col("shift")).drop("mean", "var", "gain", "shift")
+
+
+def _striped(place: Column, number: Column, size: int, width: int, stripes: int, seed: int) -> Column:
+    """Whether a place is in one of the stripes of a clip; a linear congruence places them."""
+    hit = F.lit(False)
+    for i in range(stripes):
+        start = (number * 1103515245 + (seed + i) * 12345) % (1 << 31) % (size - width + 1)
+        hit = hit | ((place >= start) & (place < start + width))
+    return hit
+
+
+def stripes(cells: DataFrame, value: str, time: tuple[str, int, int], frequency: tuple[str, int, int], n: int = 2, seed: int = 7, by: str = "clip_id") -> DataFrame:
+    """value as 0 in n stripes of time and n of frequency of each clip; both are (column, size, width of a stripe)."""
+    hit = _striped(F.col(time[0]), F.col(by), *time[1:], n, seed) | _striped(F.col(frequency[0]), F.col(by), *frequency[1:], n, seed + n)
+    return cells.withColumn(value, F.when(hit, 0.0).otherwise(F.col(value)))

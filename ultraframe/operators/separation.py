@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import clip, decibel_ratio, dot, sigmoid
+from .spectral import framed, istft, unit_phase
 
 EPS = 1e-10
 
 
-
 def measures(triples: DataFrame, rate: int) -> DataFrame:
     """clip_id, sdr, si_sdr, sir, duration_s of ref, est and other, all cut to the shortest."""
     n = F.least(F.size("ref"), F.size("est"), F.size("other"))
@@ -129,5 +129,30 @@ def refine(mask: DataFrame, kernel: int, floor: float, width: float) -> DataFram
 
 
 def masked(frames: DataFrame, mask: DataFrame) -> DataFrame:
-    """k, clip_id, f, t, re, im: the cells of a spectrum under each component's mask."""
+    """k, clip_id, f, t, re, im: the cells of a spectrum (clip_id, t, k, re, im) under each component's mask."""
     return mask.join(frames.select("clip_id", "t", F.col("k").alias("f"), "re", "im"), ["clip_id", "t", "f"]).select("k", "clip_id", "f", "t", (F.col("re") * F.col("m")).alias("re"), (F.col("im") * F.col("m")).alias("im"))
+
+
+def separated(cells: DataFrame, mask: DataFrame, n_fft: int, hop: int) -> DataFrame:
+    """clip_id, k, n, x: one signal for each component, its mask laid over the spectrum and transformed back."""
+    by = ("clip_id", "k")
+    return istft(framed(masked(cells, mask), by), n_fft, hop, by)
+
+
+def resynthesized(cells: DataFrame, w: DataFrame, h: DataFrame, n_fft: int, hop: int) -> DataFrame:
+    """clip_id, n, x: the product of the factors with the phase of the spectrum, transformed back."""
+    spectrum = cells.select("clip_id", "t", F.col("k").alias("f"), *(c.alias(n) for c, n in zip(unit_phase(F.col("re"), F.col("im")), ("re", "im"))))
+    out = product(w, h).join(spectrum, ["clip_id", "t", "f"]).select("clip_id", "t", "f", (F.col("vhat") * F.col("re")).alias("re"), (F.col("vhat") * F.col("im")).alias("im"))
+    return istft(framed(out), n_fft, hop)
+
+
+def change(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """clip_id and the norm of what a step has changed over the norm before it."""
+    both = before.join(after.withColumnRenamed(value, "_after"), keys)
+    square = lambda x: F.sqrt(F.sum(x * x))
+    return both.groupBy("clip_id").agg((square(F.col("_after") - F.col(value)) / F.greatest(square(F.col(value)), F.lit(EPS))).alias("change"))
+
+
+def condition(measured: DataFrame, name: str, rate: int) -> DataFrame:
+    """Rows of measures under the name of a condition and its sample rate."""
+    return measured.select(F.lit(name).alias("condition"), F.lit(rate).alias("sample_rate"), "*")

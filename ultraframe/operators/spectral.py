@@ -30,6 +30,10 @@ def _frames(x: np.ndarray, n_fft: int, hop: int, pad: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop]
 
 
+def _keys(clips: DataFrame) -> str:
+    return ", ".join(f"{c} {clips.schema[c].dataType.simpleString()}" for c in ("clip_id", "class"))
+
+
 def stft(clips: DataFrame, n_fft: int, hop: int, pad: str = "none") -> DataFrame:
     """clip_id, class, t, re, im: a row for each frame; pad is none, constant or reflect."""
     window = hann(n_fft)
@@ -47,7 +51,7 @@ def stft(clips: DataFrame, n_fft: int, hop: int, pad: str = "none") -> DataFrame
                     again = pa.array(np.full(n, i))
                     yield pa.record_batch([batch.column("clip_id").take(again), batch.column("class").take(again), pa.array(np.arange(n, dtype=np.int32)), *parts], names=["clip_id", "class", "t", "re", "im"])
 
-    return clips.select("clip_id", "class", "samples").mapInArrow(run, "clip_id bigint, class int, t int, re array<double>, im array<double>")
+    return clips.select("clip_id", "class", "samples").mapInArrow(run, f"{_keys(clips)}, t int, re array<double>, im array<double>")
 
 
 def magnitude(frames: DataFrame) -> DataFrame:
@@ -130,8 +134,11 @@ def population_skew(frame: DataFrame, by: str, value: str) -> DataFrame:
     return frame.groupBy(by).agg(((F.avg(F.pow(value, F.lit(3))) - 3 * m * F.avg(F.pow(value, F.lit(2))) + 2 * F.pow(m, F.lit(3))) / F.nullif(F.pow(F.var_pop(value), F.lit(1.5)), F.lit(0.0))).alias("skew"))
 
 
-def istft(frames: DataFrame, n_fft: int, hop: int) -> DataFrame:
-    """clip_id, n, x by overlap-add, divided by the sum of squared windows; null where no window reaches."""
+def istft(frames: DataFrame, n_fft: int, hop: int, by: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """The columns of by, n, x by overlap-add, divided by the sum of squared windows; null where no window reaches.
+
+    A frame is a row of by, t and its bins re and im.
+    """
     window = hann(n_fft)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +149,32 @@ def istft(frames: DataFrame, n_fft: int, hop: int) -> DataFrame:
             back = np.fft.irfft(re + 1j * im, n=n_fft, axis=1) * window
             at = np.asarray(batch.column("t"))[:, None] * hop + np.arange(n_fft)
             again = pa.array(np.repeat(np.arange(batch.num_rows), n_fft))
-            yield pa.record_batch([batch.column("clip_id").take(again), pa.array(at.ravel().astype(np.int32)), pa.array(back.ravel()), pa.array(np.tile(window * window, batch.num_rows))], names=["clip_id", "n", "y", "w"])
+            keys = [batch.column(c).take(again) for c in by]
+            yield pa.record_batch([*keys, pa.array(at.ravel().astype(np.int32)), pa.array(back.ravel()), pa.array(np.tile(window * window, batch.num_rows))], names=[*by, "n", "y", "w"])
+
+    shape = "".join(f"{c} {frames.schema[c].dataType.simpleString()}, " for c in by)
+    parts = frames.select(*by, "t", "re", "im").mapInArrow(run, f"{shape}n int, y double, w double")
+    return parts.groupBy(*by, "n").agg(F.sum("y").alias("y"), F.sum("w").alias("w")).select(*by, "n", F.when(F.col("w") > 1e-10, F.col("y") / F.col("w")).alias("x"))
+
+
+def framed(cells: DataFrame, by: tuple[str, ...] = ("clip_id",), bin: str = "f") -> DataFrame:
+    """Cells with re and im, one row a bin, as frames: by, t and the bins in order."""
+    rows = cells.groupBy(*by, "t").agg(F.array_sort(F.collect_list(F.struct(F.col(bin).alias("f"), "re", "im"))).alias("c"))
+    return rows.select(*by, "t", F.transform("c", lambda x: x["re"]).alias("re"), F.transform("c", lambda x: x["im"]).alias("im"))
+
+
+def window_of(rate: Column, milliseconds: float) -> tuple[Column, Column]:
+    """Samples of a window of so many milliseconds, and its hop of a quarter."""
+    n = (rate * milliseconds / 1000).cast("bigint")
+    return n, F.floor(n / 4).cast("bigint")
+
 
-    parts = frames.select("clip_id", "t", "re", "im").mapInArrow(run, "clip_id bigint, n int, y double, w double")
-    return parts.groupBy("clip_id", "n").agg(F.sum("y").alias("y"), F.sum("w").alias("w")).select("clip_id", "n", F.when(F.col("w") > 1e-10, F.col("y") / F.col("w")).alias("x"))
+def check_config(rate: int, n_fft: int, hop: int, low: float = 0.0, high: float | None = None) -> None:
+    """Raises ValueError where frames or mel filters could not be built."""
+    if rate <= 0 or n_fft <= 0 or n_fft % 2 or not 0 < hop <= n_fft:
+        raise ValueError(f"rate {rate}, n_fft {n_fft}, hop {hop}: rate and n_fft must be positive, n_fft even, and hop from 1 to n_fft")
+    if not 0 <= low < (rate / 2 if high is None else high) <= rate / 2:
+        raise ValueError(f"mel filters from {low} to {high} Hz don't fit below {rate / 2} Hz")
 
 
 def unit_phase(re: Column, im: Column) -> tuple[Column, Column]:
@@ -166,4 +195,4 @@ def resample(clips: DataFrame, rate: int, to: int) -> DataFrame:
                 out.append((np.fft.irfft(found[: n // 2 + 1], n) * (n / len(x))).tolist() if n else [])
             yield pa.record_batch([batch.column("clip_id"), batch.column("class"), pa.array(out, pa.list_(pa.float64()))], names=["clip_id", "class", "samples"])
 
-    return clips.select("clip_id", "class", "samples").mapInArrow(run, "clip_id bigint, class int, samples array<double>")
+    return clips.select("clip_id", "class", "samples").mapInArrow(run, f"{_keys(clips)}, samples array<double>")

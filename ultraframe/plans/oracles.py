@@ -97,7 +97,7 @@ SQL = {
         select clip_id, round(sum(freq * m) / sum(m), 6) as centroid, min(freq) filter (round(cum, 9) >= round(0.85 * tot, 9)) as rolloff, round(exp(avg(ln(greatest(m * m, 1e-10)))) / avg(greatest(m * m, 1e-10)), 6) as flatness from c group by 1""",
     "activation_skew": f"with {ENERGY}, a as (select *, avg(x) over (partition by clip_id) as m from fe) select clip_id, round(avg(pow(x - m, 3)) / pow(var_pop(x), 1.5), 5) + 0.0 as skew from a group by 1",
     "predictions": f"with {PREDS} select * from pr",
-    "logit_argmax": f"with {CLIPS}, l as (select clip_id, n, round(ln(p / (1 - p)), 9) as z from (select clip_id, n, greatest(least(abs(x) * 4, 1 - 1e-6), 1e-6) as p from s where n < 8)) select clip_id, first(n order by z desc, n)::int as pred, round(max(z), 6) + 0.0 as top from l group by 1",
+    "logit_argmax": f"with {CLIPS}, l as (select clip_id, n, round(ln(p / (1 - p)), 9) as z from (select clip_id, n, greatest(least(abs(x) * 4, 1 - 1e-6), 1e-6) as p from s)) select clip_id, first(n order by z desc, n)::int as pred, round(max(z), 6) + 0.0 as top from l group by 1",
     "majority_vote": f"with {PREDS}, v as (select file_id, pred, count(*) as n, min(start) as f from pr group by all), b as (select file_id, first(pred order by n desc, f) as pred from v group by 1) select file_id, arg_max(label, start) as label, any_value(b.pred) as pred from pr join b using (file_id) group by 1",
     "accuracy": f"with {PREDS} select count(*) as n, round(avg((label = pred)::int), 6) as accuracy from pr",
     "macro_scores": f"with {SCORES} select round(avg(p), 6) as precision_macro, round(avg(r), 6) as recall_macro, round(avg(f), 6) as f1_macro from pc",
@@ -107,7 +107,7 @@ SQL = {
         union all select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(nt)::bigint from pc
         union all select 'weighted avg', round(sum(p * nt) / sum(nt), 6), round(sum(r * nt) / sum(nt), 6), round(sum(f * nt) / sum(nt), 6), sum(nt)::bigint from pc""",
     "mixup": """with b as (select vec_id, vec_id // 32 as b, vec_id % 32 as p, count(*) over (partition by vec_id // 32) as n, embedding as e from embeddings)
-        select x.vec_id as clip_id, round(x.e[1]::double * 0.7 + y.e[1]::double * 0.3, 6) + 0.0 as first, round(x.e[64]::double * 0.7 + y.e[64]::double * 0.3, 6) + 0.0 as last from b x join b y on x.b = y.b and y.p = x.n - 1 - x.p""",
+        select x.vec_id as clip_id, (i - 1)::int as n, round(x.e[i]::double * 0.7 + y.e[i]::double * 0.3, 6) + 0.0 as x from b x join b y on x.b = y.b and y.p = x.n - 1 - x.p, range(1, 65) as q(i)""",
     "separation_measures": f"""with {CLIPS}, t as (select a.clip_id, a.n, a.x as r, b.x as o, a.x + 0.1 * b.x as e from s a join s b on b.clip_id = a.clip_id + 1 and a.n = b.n),
         z as (select *, r - avg(r) over c as rz, e - avg(e) over c as ez from t window c as (partition by clip_id)),
         oz as (select *, o - avg(o) over (partition by clip_id) as oz from z),
@@ -123,7 +123,7 @@ SQL = {
     "hard_mask": f"with {FACTORS} select clip_id, k, f, t, (row_number() over (partition by clip_id, f, t order by round(v, 9) desc, k) = 1)::int::double as m from pt",
     "median_mask": f"with {SOFT} select clip_id, k, f, t, round(m, 6) as m from ({_median(5)})",
     "refined_mask": f"with {SOFT} select clip_id, k, f, t, round(m / (1 + exp(-(m - 0.2) / (0.05 + 1e-8))), 6) as m from ({_median(3)})",
-    "istft_round_trip": f"with {CLIPS} select clip_id, n::int as n, round(x, 6) + 0.0 as x from s where n >= 16 and n < 48",
+    "istft_round_trip": f"with {CLIPS} select clip_id, n::int as n, case when n > 0 then round(x, 6) + 0.0 end as x from s",
     "pool_max_avg3": f"with {ENERGY} select clip_id, t, round(max(x) over o + sum(x) over o / 3, 6) as x from fe window o as (partition by clip_id order by t rows between 1 preceding and 1 following)",
     "pool_blocks": f"with {ENERGY} select clip_id, (t // 2)::int as t, round(avg(x), 6) as mean, round(max(x), 6) as largest from fe where t < 12 group by clip_id, t // 2",
     "upsample_pad": f"with {ENERGY} select clip_id, i::int as t, round(x, 6) as x from range(60) as r(i) join fe on t = least(i // 4, 12)",
@@ -137,6 +137,7 @@ SQL = {
     "best_checkpoint": """with e as (select o_custkey as run, o_orderdate::date as epoch, max(o_totalprice) / 1e6 as a from orders group by all)
         select run, epoch::varchar as epoch, a > coalesce(greatest(max(a) over (partition by run order by epoch rows between unbounded preceding and 1 preceding), 0), 0) as saved from e""",
     "event_share": SHARE.format(start="strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S')", share="round(count(*) filter (value > 60) / nullif(count(*) filter (value > 20), 0), 6)"),
+    "stream_share": SHARE.format(start="strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S')", share="round(count(*) filter (value > 60) / nullif(count(*) filter (value > 20), 0), 6)"),
     "event_bursts": """with g as (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minutes, true) as fresh from events),
         b as (select *, sum(fresh::int) over (partition by user_id order by ts rows unbounded preceding) as k from g)
         select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as n from b group by user_id, k""",

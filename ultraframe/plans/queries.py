@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import names
 from ..functions.scalar import argmax, logit
 from ..operators import activity, cluster, evaluate, framing, learn, pooling, separation, spectral
 from ..sources import tables as T
+from ..sources.storage import shared_folder
 from ..streaming.activity import bursts, windowed_share
 
 AUDIBLE, SNR, PLAYING, LEAST, WINDOW = 20.0, 20.0, -8.0, -70.0, 0.25
@@ -164,7 +167,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logit_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.transform(F.slice("samples", 1, 8), lambda x: F.abs(x) * 4)
+    s = F.transform("samples", lambda x: F.abs(x) * 4)
     kept = F.transform(F.transform(s, lambda p: F.least(p, F.lit(1.0))), lambda p: F.round(logit(p), 9))
     return T.clips(spark, sf).select("clip_id", argmax(kept).alias("pred"), r(F.array_max(kept), name="top"))
 
@@ -195,7 +198,7 @@ def exact_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def mixup(spark: SparkSession, sf: str) -> DataFrame:
     mixed = framing.mixup(T.batches(T.clips(spark, sf).select("clip_id", "samples"), "clip_id", 32), 0.7)
-    return mixed.select("clip_id", r(F.get("samples", F.lit(0)), name="first"), r(F.get("samples", F.lit(63)), name="last"))
+    return mixed.select("clip_id", F.posexplode("samples").alias("n", "x")).select("clip_id", "n", r("x"))
 
 
 def separation_measures(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +227,9 @@ def nmf_step_h(spark: SparkSession, sf: str) -> DataFrame:
 
 def nmf_fit(spark: SparkSession, sf: str) -> DataFrame:
     frames = spectral.magnitude(spectral.stft(T.clips(spark, sf), T.N_FFT, T.HOP))
-    return separation.fit(frames, 3).select("clip_id", F.size("w").alias("n_w"), F.size("h").alias("n_h"), r("error", 4))
+    fitted = separation.fit(frames, 3)
+    values = [fitted.select("clip_id", F.lit(c).alias("factor"), F.posexplode(c).alias("at", "value"), "error") for c in ("w", "h")]
+    return values[0].union(values[1]).select("clip_id", "factor", "at", r("value", 4), r("error", 4))
 
 
 def soft_mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,7 +250,7 @@ def refined_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 def istft_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     back = spectral.istft(spectral.stft(T.clips(spark, sf), T.N_FFT, T.HOP), T.N_FFT, T.HOP)
-    return back.where("n >= 16 and n < 48").select("clip_id", "n", r("x"))
+    return back.select("clip_id", "n", r("x"))
 
 
 def cluster_kmeans(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,12 +261,19 @@ def cluster_power(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.cluster_power(cluster.cosine_affinity(_spectra(spark, sf)), 2)
 
 
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    """group, k, i, x: the spectra of the three fitted components of each clip."""
+    frames = spectral.magnitude(spectral.stft(T.clips(spark, sf), T.N_FFT, T.HOP))
+    rows = separation.fit(frames, 3).select(F.col("clip_id").alias("group"), F.posexplode("w").alias("at", "x"))
+    return rows.select("group", (F.col("at") % 3).alias("k"), F.floor(F.col("at") / 3).cast("int").alias("i"), "x")
+
+
 def cluster_ward(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster_ward(_spectra(spark, sf).withColumn("group", F.lit(0).cast("bigint")), 3)
+    return cluster.cluster_ward(_components(spark, sf), 2)
 
 
 def cluster_spectral(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster_spectral(cluster.cosine_affinity(_spectra(spark, sf)).withColumn("group", F.lit(0).cast("bigint")), 3)
+    return cluster.cluster_spectral(cluster.cosine_affinity(_components(spark, sf), ("group",)), 2)
 
 
 def pool_max_avg3(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,17 +346,19 @@ def event_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_share(spark: SparkSession, sf: str) -> DataFrame:
-    """The same windows over a stream of the file, until all is read."""
-    import tempfile
-    import uuid
-
-    schema = T.table(spark, sf, "events").schema
-    name = f"share_{uuid.uuid4().hex[:8]}"
-    source = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    folder = spark.conf.get("spark.checkpoint.dir", tempfile.gettempdir()) + f"/{name}"
-    query = windowed_share(source, 20.0, 60.0).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("start", "event_type", "n_play", "share")
+    """The same windows over a stream of the file, until all is read; of each window the last state that came out."""
+    folder = f"{shared_folder(spark)}/share-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(T.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    share = windowed_share(source, 20.0, 60.0)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch:06d}")
+
+    # Append would hold back the windows that the last watermark has not passed.
+    share.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", True).schema(share.withColumn("batch", F.lit(0)).schema).parquet(f"{folder}/out")
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n_play", "share"), "batch").alias("x"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "x.n_play", r(F.col("x.share"), name="share"))
 
 
 def event_bursts(spark: SparkSession, sf: str) -> DataFrame:

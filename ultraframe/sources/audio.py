@@ -7,14 +7,19 @@ here; what can't be read has a null header and is left out by `readable`.
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spectral import magnitude, resample, stft
+
 # File name endings of recordings.
 ENDINGS = (".wav", ".mp3", ".flac", ".ogg", ".aiff", ".aif")
 MORE_ENDINGS = (*ENDINGS, ".m4a", ".aac")
@@ -28,6 +33,36 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = ENDINGS) ->
     return files.where(ending.isin(*endings)).select("path", F.nullif(below, F.lit("")).alias("class"), "content")
 
 
+def recordings(spark: SparkSession, path: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
+    """scan of a folder, or of the folder of one file with that file alone; no rows if the path is missing or of another kind."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = java.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(java):
+        return spark.createDataFrame([], "path string, class string, content binary")
+    return scan(spark, path, endings)
+
+
+def listed(spark: SparkSession, folders: list[str], endings: tuple[str, ...] = (".wav", ".flac")) -> DataFrame:
+    """Recordings of several folders, each file once though folders overlap."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+    ending = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
+    return files.where(ending.isin(*endings)).select("path", F.lit(None).cast("string").alias("class"), "content").dropDuplicates(["path"])
+
+
+def evaluated(spark: SparkSession, root: str) -> DataFrame:
+    """scan for evaluation, which takes more endings."""
+    return scan(spark, root, MORE_ENDINGS)
+
+
+def _raw(data: bytes) -> tuple[int, int, np.ndarray]:
+    """Bytes of an unreadable header as 16-bit samples after it: rate unknown, so 0."""
+    if data[:4] != b"RIFF" or (at := data.find(b"data")) < 0:
+        raise EOFError("no samples")
+    body = data[at + 8 :]
+    x = np.frombuffer(body[: len(body) // 2 * 2], "<i2").astype(np.float64) / 2**15
+    return 0, len(x), x
+
+
 def _decode(raw: bytes, start: int = 0, stop: int | None = None) -> tuple[int, int, np.ndarray]:
     with wave.open(io.BytesIO(raw)) as f:
         rate, n, width, channels = f.getframerate(), f.getnframes(), f.getsampwidth(), f.getnchannels()
@@ -65,25 +100,48 @@ def readable(found: DataFrame) -> DataFrame:
     return found.where("n_frames is not null")
 
 
-def decode(files: DataFrame, start_s: float | None = None, end_s: float | None = None) -> DataFrame:
-    """path, class, sample_rate, samples: mono, from -1 to 1, of a stretch of time or the whole."""
+def decode(files: DataFrame, start_s: float | None = None, end_s: float | None = None, samples: tuple[int, int] | None = None, fallback: bool = False) -> DataFrame:
+    """path, class, sample_rate, samples: mono, from -1 to 1, of a stretch of time, of samples from and up to, or the whole.
+
+    An end without a start is not heeded.  What can't be read is left out, or with
+    fallback read as plain 16-bit samples behind a damaged header, at rate 0.
+    """
+
+    def one(raw: bytes) -> tuple[int, np.ndarray]:
+        try:
+            with wave.open(io.BytesIO(raw)) as f:
+                rate = f.getframerate()
+            low, high = samples or (int((start_s or 0) * rate), None if end_s is None or start_s is None else int(end_s * rate))
+            return rate, _decode(raw, low, high)[2]
+        except (wave.Error, EOFError):
+            if not fallback:
+                raise
+            rate, _, x = _raw(raw)
+            return rate, x[slice(*(samples or (0, None)))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, label, raw in zip(batch["path"], batch["class"], batch["content"]):
                 try:
-                    with wave.open(io.BytesIO(raw)) as f:
-                        rate = f.getframerate()
-                    _, _, x = _decode(raw, int((start_s or 0) * rate), None if end_s is None else int(end_s * rate))
-                    rows.append((path, label, rate, x.tolist()))
+                    rate, x = one(raw)
                 except (wave.Error, EOFError):
                     continue
+                rows.append((path, label, rate, x.tolist()))
             yield pd.DataFrame(rows, columns=["path", "class", "sample_rate", "samples"])
 
     return files.mapInPandas(run, "path string, class string, sample_rate int, samples array<double>")
 
 
+def spectrum_of(files: DataFrame, rate: int, n_fft: int, hop: int) -> DataFrame:
+    """Files decoded, brought to one rate and transformed: clip_id is the path."""
+    clips = decode(files).select(F.col("path").alias("clip_id"), F.col("class"), "sample_rate", "samples")
+    rates = [x.sample_rate for x in clips.select("sample_rate").distinct().collect()]  # a handful of rates
+    same = [resample(clips.where(F.col("sample_rate") == x), x, rate) for x in rates]
+    whole = reduce(DataFrame.union, same) if same else clips.drop("sample_rate")
+    return magnitude(stft(whole, n_fft, hop, "reflect"))
+
+
 def encode(clips: DataFrame, rate: int) -> DataFrame:
     """clips with content: their samples as 16-bit WAV."""
 
@@ -103,23 +161,46 @@ def encode(clips: DataFrame, rate: int) -> DataFrame:
     return clips.withColumn("content", pack("samples"))
 
 
-def write(encoded: DataFrame, folder: str, name: str = "name") -> None:
-    """Writes content as folder/name through Hadoop's file systems, one file a row, on the executors' behalf in partitions."""
+def write(encoded: DataFrame, folder: str, name: str = "name") -> int:
+    """Writes content as folder/name, each executor its own files; folder is on a file system that all can reach by path.
+
+    Returns how many were written.  A file appears under its name only when it is whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, content in zip(batch["name"], batch["content"]):
+                target = os.path.join(folder, own)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
     files = encoded.select(F.col(name).cast("string").alias("name"), "content")
-    for row in files.toLocalIterator():  # one file in the driver at a time
-        path = encoded.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}")
-        out = path.getFileSystem(encoded.sparkSession._jsparkSession.sessionState().newHadoopConf()).create(path)
-        out.write(bytearray(row.content))
-        out.close()
-
-
-def write_report(frame: DataFrame, path: str, kind: str = "csv") -> None:
-    """A small table as one CSV file with a header, as JSON lines, or as text in columns."""
-    one = frame.coalesce(1).write.mode("overwrite")
-    if kind == "csv":
-        one.option("header", True).csv(path)
-    elif kind == "json":
-        one.json(path)
+    return files.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_report(frame: DataFrame, path: str, kind: str = "csv", other: str | None = None) -> str:
+    """A small table as one CSV file with a header, as JSON lines, or as text in columns of 20; returns where it went.
+
+    CSV begins with a byte order mark.  If path can't be written, other is taken.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    if kind == "json":
+        lines = frame.select(F.to_json(F.struct("*")).alias("value"))
+    elif kind == "csv":
+        names = [F.lit("\ufeff" * (i == 0) + c).alias(f"c{i}") for i, c in enumerate(frame.columns)]
+        head = frame.sparkSession.range(1).select(F.to_csv(F.struct(*names)).alias("value"))
+        lines = head.union(frame.select(F.to_csv(F.struct("*")).alias("value")))
     else:
-        width = F.format_string("".join("%-20s" for _ in frame.columns), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in frame.columns])
-        frame.select(width.alias("line")).coalesce(1).write.mode("overwrite").text(path)
+        lines = frame.select(F.format_string("".join("%-20s" for _ in frame.columns), *map(text, frame.columns)).alias("value"))
+    for place in (path, other):
+        try:
+            lines.coalesce(1).write.mode("overwrite").text(place)
+            return place
+        except Exception:
+            if other is None or place == other:
+                raise
+    raise AssertionError
