@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import half_even, ratio, whole
 
@@ -84,24 +85,52 @@ def histogram(frame: DataFrame, value: str, bins: int = 80) -> DataFrame:
     return finite.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def floored(cells: DataFrame, audible: float = AUDIBLE_HZ, share: float = FLOOR_SHARE, snr_db: float = SNR_DB, least_db: float = MIN_LEVEL_DB) -> DataFrame:
+    """cells with the floors and thresholds of noise_floors, by a window over each clip: no join, and cells are read once."""
+    clip, low = Window.partitionBy("clip_id"), F.col("freq") <= audible
+    value = {"global": F.col("mag_db"), "audible": F.when(low, F.col("mag_db")), "ultra": F.when(~low, F.col("mag_db"))}
+    out = cells.withColumns({f"noise_{n}_db": F.percentile(v, F.lit(share)).over(clip) for n, v in value.items()})
+    return out.withColumns({f"{n}_threshold_db": F.greatest(F.col(f"noise_{n}_db") + snr_db, F.lit(float(least_db))) for n in ("global", "ultra")})
+
+
 def summary(cells: DataFrame, audible: float = AUDIBLE_HZ, snr_db: float = SNR_DB, least_db: float = MIN_LEVEL_DB, playing_db: float = PLAYING_DB, seconds: float = WINDOW_S) -> DataFrame:
-    """One row for each clip: shares, counts, highest frequencies and floors, rounded for a report."""
-    floors = noise_floors(cells, audible, snr_db=snr_db, least_db=least_db)
-    found = frames(cells, floors, audible, playing_db)
-    tops = top_frequency(found).groupBy("clip_id").agg(F.max("top_freq").alias("max_freq"), F.max(F.when(F.col("top_freq") > audible, F.col("top_freq"))).alias("max_ultra"))
-    out = floors.join(share_of_frames(found), "clip_id", "left").join(share_of_windows(found, seconds), "clip_id", "left").join(tops, "clip_id", "left")
+    """One row for each clip: shares, counts, highest frequencies and floors, rounded for a report.
+
+    Cells are grouped to frames, frames to windows and windows to clips, all
+    under one partitioning by clip.
+    """
+    noise = [f"noise_{n}_db" for n in ("global", "audible", "ultra")]
+    kept = [F.first(c).alias(c) for c in noise]
+    low = F.col("freq") <= audible
+    frames = floored(cells, audible, snr_db=snr_db, least_db=least_db).groupBy("clip_id", "t", "time_s").agg(
+        (F.coalesce(F.max(F.when(low, F.col("mag_db"))), F.lit(float("-inf"))) > playing_db).alias("playing"),
+        F.coalesce(F.bool_or(F.when(~low, F.col("mag_db") > F.col("ultra_threshold_db"))), F.lit(False)).alias("ultra"),
+        F.max(F.when(F.col("mag_db") > F.col("global_threshold_db"), F.col("freq"))).alias("top"),
+        *kept,
+    )
+    top = F.when(F.col("playing"), F.col("top"))
+    windows = frames.groupBy("clip_id", F.floor(F.col("time_s") / seconds).alias("window")).agg(
+        F.count_if("playing").alias("n"),
+        F.count_if(F.col("playing") & F.col("ultra")).alias("both"),
+        F.max("time_s").alias("last"),
+        F.max(top).alias("max_freq"),
+        F.max(F.when(top > audible, top)).alias("max_ultra"),
+        *kept,
+    )
+    # A last frame exactly on the end of a whole number of windows is in none of them.
+    inside = F.col("window") < F.ceil(F.max("last").over(Window.partitionBy("clip_id")) / seconds)
+    windows = windows.withColumn("share", F.when(inside, ratio(F.col("both"), F.col("n"))))
+    out = windows.groupBy("clip_id").agg(F.sum("n").alias("n"), F.sum("both").alias("both"), F.avg("share").alias("pua_sec"), F.max("max_freq").alias("max_freq"), F.max("max_ultra").alias("max_ultra"), *kept)
     return out.select(
         "clip_id",
-        half_even(F.col("pua_frame")).alias("pua_frame"),
+        half_even(ratio(F.col("both"), F.col("n"))).alias("pua_frame"),
         half_even(F.col("pua_sec")).alias("pua_sec"),
-        F.coalesce("n_play_frames", F.lit(0)).alias("n_play_frames"),
-        F.coalesce("n_ultra_frames", F.lit(0)).alias("n_ultra_frames"),
+        F.col("n").alias("n_play_frames"),
+        F.col("both").alias("n_ultra_frames"),
         whole(F.col("max_freq")).alias("max_freq_overall_hz"),
         whole(F.col("max_ultra")).alias("max_ultrasonic_freq_hz"),
-        "noise_global_db",
-        "noise_audible_db",
-        "noise_ultra_db",
-        "status",
+        *noise,
+        F.when(F.col("noise_ultra_db").isNull(), "no_band").otherwise("ok").alias("status"),
     )
 
 
