@@ -1,5 +1,7 @@
 """Plain restatements of what the operators return."""
 
+import hashlib
+import math
 import re
 
 SPACED, ALNUM = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -62,3 +64,44 @@ def groups(docs, near=85):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def targets(sizes):
+    """Targets by source name: weights 1, 2, 3 again and again, nobody above 3 times its size, the excess reshared."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, fixed = {s: i % 3 + 1 for i, s in enumerate(names)}, {}
+    while True:
+        rest = [s for s in names if s not in fixed]
+        left = sum(sizes.values()) - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > 3 * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: 3 * sizes[s] for s in over}
+
+
+def copies(rows, goals, seed, long):
+    """How often each (id, size) of one source comes; goals is its target."""
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
+    (source, goal), = goals.items()
+    key = lambda i: hashlib.md5((f"{seed}|{i}" if i is not None else f"{seed}").encode()).hexdigest()
+    order = sorted(((size, key(i), i) for i, size in rows), key=lambda x: (x[0], x[1]), reverse=True)
+    edge = order[long][:2] if len(order) > long else None
+    first = [x for x in order if edge is None or x[:2] > edge]
+    taken, left, place, out = 0, sum(x[0] for x in order), number(f"{seed}|{source or ''}") / 16**12, []
+    rate = lambda: min(3.0, max(0.0, (goal - taken) / left)) if left > 0 else 0.0
+    for size, _, i in first:
+        expected = rate()
+        if size:
+            want, rest = goal - taken, 3 * (left - size)
+            low, high = float(math.ceil((want - rest) / size)), float(math.floor(want / size))
+            expected = min(max(expected, low), high) if low <= high else high if want - high * size - rest <= low * size - want else low
+        to = place + min(3.0, max(0.0, expected))
+        n = min(math.floor(to), 3)
+        place, taken, left = to - n, taken + n * size, left - size
+        out.append((i, size, n))
+    band = lambda size: len(str(size)) * 10 + int(str(size)[0])
+    own = rate()
+    for k, (size, _, i) in enumerate(sorted(order[len(first) :], key=lambda x: (-band(x[0]), -x[0], x[1]))):
+        out.append((i, size, min(3, math.floor((k + 1) * own + place) - math.floor(k * own + place))))
+    return sorted(out, key=str)

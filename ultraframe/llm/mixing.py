@@ -7,8 +7,9 @@ as the document is emitted.
 
 The LONG longest documents of a source decide how near the words taken come to
 the target, so what each of them is expected to come depends on those before it:
-the words still wanted, over the words still to come.  They are a fold over one
-array for each source.  All others of the source have the rate that is left after
+the words still wanted, over the words still to come, and no fewer or more copies
+than those after it can make up for.  They are a fold over one array for each
+source.  All others of the source have the rate that is left after
 them, and since each is short beside the whole, their sum is near to it.  The
 running sum over these is distributed: a source is cut into chunks of about CHUNK
 documents that are consecutive in the order, each chunk numbers its own rows, and
@@ -74,7 +75,13 @@ def _one_by_one(sizes: Column, target: Column, source_size: Column, offset: Colu
     start = F.struct(F.lit(0).cast("bigint").alias("taken"), source_size.alias("left"), offset.alias("offset"), F.array().cast("array<bigint>").alias("copies"))
 
     def step(s: Column, size: Column) -> Column:
-        to = s["offset"] + _rate(target, s["taken"], s["left"])
+        want, rest = target - s["taken"], MOST * (s["left"] - size)
+        # From low to high copies, those after it can still make up for it; where none will do, the nearer one.
+        low, high = F.ceil((want - rest) / size).cast("double"), F.floor(want / size).cast("double")
+        nearer = F.when(want - high * size - rest <= low * size - want, high).otherwise(low)
+        rate = _rate(target, s["taken"], s["left"])
+        rate = F.when(size == 0, rate).when(low > high, nearer).otherwise(F.least(F.greatest(rate, low), high))
+        to = s["offset"] + F.least(F.greatest(rate, F.lit(0.0)), F.lit(float(MOST)))
         n = F.least(F.floor(to), F.lit(MOST)).cast("bigint")
         return F.struct((s["taken"] + n * size).alias("taken"), (s["left"] - size).alias("left"), (to - n).alias("offset"), F.concat(s["copies"], F.array(n)).alias("copies"))
 
