@@ -8,10 +8,12 @@ on the sf0.1 tables its neighbours name 28 of 97 held-out toxic documents, these
 88.)  No term is left out.
 
 The examples lie in an inverted index: for each term and each block of BLOCK
-examples that holds it, the weights there and the largest of them.  The sum of a
-query's products with the largest weights bounds every cosine in a block; blocks
-are read in the order of their bounds until no bound exceeds the K-th best
-cosine, so the K nearest are exact.  Their votes, weighted by nearness and drawn
+examples that holds it, the weights there and the largest of them.  The lists of
+terms that more than one in HEAD examples holds are full rows, whose part of all
+cosines is one product of matrices for many documents.  That part's maximum in a
+block and the sum of a query's products with the largest weights there bound
+every cosine in the block; blocks are read in the order of their bounds until no
+bound exceeds the K-th best cosine, so the K nearest are exact.  Their votes, weighted by nearness and drawn
 towards the share of toxic examples, are made a probability by a curve that is
 fitted on the examples themselves, each without its own vote.
 
@@ -33,8 +35,10 @@ from . import words as W
 from .storage import saved
 
 #: Most labelled examples of the index, which bounds the broadcast (about 12 bytes for each term of each).
-EXAMPLES = 10_000
-BLOCK, K, FIRST_BLOCKS = 128, 16, 4
+EXAMPLES = 8_000
+BLOCK, K, FIRST_BLOCKS, HEAD = 128, 16, 4, 8
+#: Texts of one product of matrices.
+TEXTS = 256
 #: Votes are weighted 1 / (1 + SOFT - cosine); the prior weighs as much as PRIOR.
 SOFT, PRIOR = 0.05, 0.5
 #: The curve's slope and shift stay near 1 and 0 as if so many examples said so.
@@ -94,10 +98,12 @@ def _frequencies(shared):
 
 @dataclass
 class Index:
-    """Examples by term and block: cells are in the order of terms and, for each, of blocks."""
+    """Examples by term and block: cells are in the order of terms and, for each, of blocks; rows of the head are full."""
 
     vocabulary: np.ndarray
     weight: np.ndarray
+    row: np.ndarray
+    head: np.ndarray
     first: np.ndarray
     block: np.ndarray
     largest: np.ndarray
@@ -110,42 +116,58 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
 
-    def nearest(self, terms: np.ndarray, query: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def queries(self, edge: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The weights of the terms of several texts, each text of norm 1 (or 0)."""
+        value = (1 + np.log(counts)) * self.weight[terms]
+        text = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        norm = np.sqrt(np.bincount(text, value * value, len(edge) - 1))
+        return value / np.where(norm > 0, norm, 1)[text]
+
+    def base(self, edge: np.ndarray, terms: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The part of the head in the cosines of several texts and all examples."""
+        full = np.zeros((len(edge) - 1, len(self.head)), np.float32)
+        some = self.row[terms] >= 0
+        full[np.repeat(np.arange(len(edge) - 1), np.diff(edge))[some], self.row[terms[some]]] = query[some]
+        return full @ self.head
+
+    def nearest(self, terms: np.ndarray, query: np.ndarray, base: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The K examples of largest cosine above 0, and the cosines; ties to the earlier place.  `but` is left out."""
+        tail = self.row[terms] < 0
+        terms, query = terms[tail], query[tail]
         n = self.first[terms + 1] - self.first[terms]
         cell = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         factor, blocks = np.repeat(query, n), self.block[cell]
-        bound = np.bincount(blocks, factor * self.largest[cell], -(-len(self.toxic) // BLOCK)) * (1 + 1e-6)
+        bound = (np.bincount(blocks, factor * self.largest[cell], len(base) // BLOCK) + base.reshape(-1, BLOCK).max(axis=1)) * (1 + 1e-5)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        ids, found, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_BLOCKS
-        while done < len(order):
-            part = order[done : done + step]
+        ids, found = np.zeros(0, np.int64), np.zeros(0)
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             if len(ids) >= K:
                 part = part[bound[part] >= found[K - 1]]
-                if not len(part):
-                    break
+            if not len(part):
+                break
             wanted = np.zeros(len(bound), bool)
             wanted[part] = True
             some = wanted[blocks]
-            own, m = cell[some], self.start[cell[some] + 1] - self.start[cell[some]]
+            own = cell[some]
+            m = self.start[own + 1] - self.start[own]
             at = np.repeat(self.start[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            cosine = np.bincount(self.posting[at], self.value[at] * np.repeat(factor[some], m), len(self.toxic))
-            inside = np.flatnonzero(cosine > 0)
+            cosine = base + np.bincount(self.posting[at], self.value[at] * np.repeat(factor[some], m), len(base))
+            inside = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            inside = inside[cosine[inside] > 0]
             if but is not None:
                 inside = inside[inside != but]
             ids, found = np.concatenate([ids, inside]), np.concatenate([found, cosine[inside]])
+            if len(ids) > K:
+                few = np.flatnonzero(found >= np.partition(found, len(found) - K)[len(found) - K])
+                ids, found = ids[few], found[few]
             best = np.lexsort((ids, -found))[:K]
-            ids, found, done, step = ids[best], found[best], done + step, step * 4
+            ids, found = ids[best], found[best]
         return ids, found
 
-    def raw(self, terms: np.ndarray, counts: np.ndarray, but: int | None = None) -> tuple[float, list[int]]:
+    def raw(self, terms: np.ndarray, query: np.ndarray, base: np.ndarray, but: int | None = None) -> tuple[float, list[int]]:
         """The share of toxic votes before the curve, and the examples that voted."""
-        query = (1 + np.log(counts)) * self.weight[terms]
-        size = np.linalg.norm(query)
-        if not size:
-            return self.prior, []
-        ids, cosine = self.nearest(terms, query / size, but)
+        ids, cosine = self.nearest(terms, query, base, but)
         votes = 1 / (1 + SOFT - np.minimum(cosine, 1))
         return float((votes @ self.toxic[ids] + PRIOR * self.prior) / (votes.sum() + PRIOR)), self.example[ids].tolist()
 
@@ -188,13 +210,22 @@ def _index(rows: pa.Table, frequency, prior: float) -> Index:
     by_place = np.lexsort((example, heaviest))
     place[by_place] = np.arange(len(toxic))
     row = place[row]
+    size = -(-max(1, len(toxic)) // BLOCK) * BLOCK
+    common = np.bincount(term, minlength=len(vocabulary)) * HEAD > len(toxic)
+    rows_of = np.where(common, np.cumsum(common) - 1, -1)
+    head = np.zeros((int(common.sum()), size), np.float32)
+    in_head = common[term]
+    head[rows_of[term[in_head]], row[in_head]] = value[in_head]
+    term, row, value = term[~in_head], row[~in_head], value[~in_head]
     order = np.lexsort((row, term))
     term, row, value = term[order], row[order], value[order]
     block = row // BLOCK
     heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
     largest = np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0)
     first = np.searchsorted(term[heads], np.arange(len(vocabulary) + 1))
-    return Index(vocabulary, weight, first.astype(np.int32), block[heads].astype(np.int32), largest.astype(np.float32) * np.float32(1 + 1e-6), np.append(heads, len(row)).astype(np.int32), row.astype(np.int32), value.astype(np.float32), toxic[by_place], example[by_place], prior)
+    padded, names = np.zeros(size), np.full(size, -1)
+    padded[: len(toxic)], names[: len(toxic)] = toxic[by_place], example[by_place]
+    return Index(vocabulary, weight, rows_of.astype(np.int32), head, first.astype(np.int32), block[heads].astype(np.int32), largest.astype(np.float32), np.append(heads, len(row)).astype(np.int32), row.astype(np.int32), value.astype(np.float32), padded, names, prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Index:
@@ -235,7 +266,11 @@ def _scored(batches: Iterator[pa.RecordBatch], index: Index, own: bool) -> Itera
         row, term, count = _known(W.split(batch.column("text"), W.ALNUM), index.vocabulary)
         edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
         but = [place[e] for e in batch.column("example").to_pylist()] if own else [None] * batch.num_rows
-        found = [index.raw(term[s:e], count[s:e], b) for s, e, b in zip(edge[:-1], edge[1:], but)]
+        query, found = index.queries(edge, term, count), []
+        for i in range(0, batch.num_rows, TEXTS):
+            own = edge[i : i + TEXTS + 1]
+            base = index.base(own - own[0], term[own[0] : own[-1]], query[own[0] : own[-1]])
+            found += [index.raw(term[s:e], query[s:e], x, b) for s, e, x, b in zip(own[:-1], own[1:], base, but[i : i + TEXTS])]
         yield batch, [x[0] for x in found], [x[1] for x in found]
 
 
