@@ -268,9 +268,9 @@ def _scored(batches: Iterator[pa.RecordBatch], index: Index, own: bool) -> Itera
         but = [place[e] for e in batch.column("example").to_pylist()] if own else [None] * batch.num_rows
         query, found = index.queries(edge, term, count), []
         for i in range(0, batch.num_rows, TEXTS):
-            own = edge[i : i + TEXTS + 1]
-            base = index.base(own - own[0], term[own[0] : own[-1]], query[own[0] : own[-1]])
-            found += [index.raw(term[s:e], query[s:e], x, b) for s, e, x, b in zip(own[:-1], own[1:], base, but[i : i + TEXTS])]
+            part = edge[i : i + TEXTS + 1]
+            base = index.base(part - part[0], term[part[0] : part[-1]], query[part[0] : part[-1]])
+            found += [index.raw(term[s:e], query[s:e], x, b) for s, e, x, b in zip(part[:-1], part[1:], base, but[i : i + TEXTS])]
         yield batch, [x[0] for x in found], [x[1] for x in found]
 
 
