@@ -174,3 +174,23 @@ def test_pipeline(spark):
         assert 0 < out.count() <= docs.count(), name
         docs = out
     assert corpus_pipeline.run(spark, SF).columns == [*names, "copy"]
+
+
+def test_stages_of_odd_rows_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten eleven twelve " * 4
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "some words here", "en", None, 3), (4, text + "\n" + text, "en", "b", 9), (5, "x" * 50_000, "de", "b", 50_000)]
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for name, own in (("odd", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(own, shape).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 0, 1)] if own else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "benchmark words"), (None, None)] if own else [], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert out.columns[:5] == [f.split()[0] for f in shape.split(", ")], stage
+            got = [r.doc_id for r in out.collect()]
+            assert set(got) <= {1, 2, 3, 4, 5, None} and (own or not got), stage
+            if stage in ("toxicity", "benchmark decontamination"):
+                assert len(got) == len(own), stage

@@ -1,18 +1,20 @@
-"""Substring dedup by prefix-partitioned suffix trees (operator 9).
+"""Substring dedup by the deep nodes of suffix trees, without the trees (operator 9).
 
 A passage is removed where WINDOW consecutive words of a document also start
 in a document of smaller id.  Such passages are the internal nodes of depth
-WINDOW or more in the suffix tree of all documents, which is built in parts:
+WINDOW or more in the suffix tree of all documents.  Only the nodes at that depth
+are needed, so suffixes are cut there and their labels are compared by hash:
 
 1. Every window of WINDOW words is filed under a short prefix, the PREFIX
    words that have the least hash of all in the window.  Equal windows choose
    equal prefixes, and neighbouring windows mostly share one, so there are
    about five times fewer prefixes than windows.  A prefix that only one
    document holds leads to no internal node; those are dropped.
-2. Where a prefix is shared it is lengthened to the whole window.  Windows are
-   dealt out by prefix to groups of bounded size.  In a group the labels of
-   the nodes at depth WINDOW are sorted; a run of one label is an internal
-   node, and its leaves beyond the smallest document are repeats.
+2. Where a prefix is shared it is lengthened to the whole window, and windows
+   are dealt out by that to groups of bounded size, so a prefix that very many
+   documents go on from is many groups.  In a group the labels are sorted; a run
+   of one label is an internal node, and its leaves beyond the smallest document
+   are repeats.
 
 Overlapping repeated windows join to maximal repeats when the words are marked.
 
