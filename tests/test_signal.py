@@ -133,6 +133,25 @@ def test_factorization_lowers_the_error():
     assert (w >= 0).all() and (h >= 0).all() and np.allclose(np.linalg.norm(w, axis=0), 1)
 
 
+@pytest.mark.parametrize("beta", [0.0, 1.0, 2.0])
+def test_updates_lower_each_loss(beta):
+    v = np.random.default_rng(6).random((9, 13)) + 0.01
+
+    def loss(steps):
+        w, h, _ = separation.factorize(v, 3, beta, steps, 0.0)
+        x = np.maximum(w @ h, separation.EPS)
+        return (v / x - np.log(v / x) - 1 if beta == 0 else v * np.log(v / x) - v + x if beta == 1 else (v - x) ** 2 / 2).sum()
+
+    falls = [loss(n) for n in (1, 5, 25, 100)]
+    assert falls == sorted(falls, reverse=True)
+
+
+def test_as_many_clusters_as_components_pass_through(spark):
+    rows = spark.createDataFrame([(g, k, i, float(k * i + g)) for g in range(2) for k in range(3) for i in range(4)], "group bigint, k int, i int, x double")
+    for found in (cluster.cluster_ward(rows, 3), cluster.cluster_spectral(cluster.cosine_affinity(rows, ("group",)), 5)):
+        assert sorted((r.group, r.k, r.cluster) for r in found.collect()) == [(g, k, k) for g in range(2) for k in range(3)]
+
+
 def test_clusterings_find_two_blobs():
     x = np.array([[0, 0], [0.1, 0], [0, 0.1], [5, 5], [5.1, 5], [5, 5.1]])
     near = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1))
