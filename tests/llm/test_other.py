@@ -185,7 +185,7 @@ def test_stages_of_odd_rows_and_no_rows(spark, tmp_path):
     for name, own in (("odd", rows), ("none", [])):
         folder = str(tmp_path / name)
         spark.createDataFrame(own, shape).write.parquet(f"{folder}/documents.parquet")
-        spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 0, 1)] if own else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, 1, 0), (4, None, 0), (None, 0, 1)] if own else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame([(1, "benchmark words"), (None, None)] if own else [], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
         for stage, run in corpus_pipeline.STAGES:
             out = run(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
