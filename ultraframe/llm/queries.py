@@ -94,7 +94,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op5_html_extraction, op6_toxicity, op7_token_counts, op8_nearest_neighbours, op9_substrings, op10_jaccard_join)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_decontaminate, op4_mixing, op5_html_extraction, op6_toxicity, op7_token_counts, op8_nearest_neighbours, op9_substrings, op10_jaccard_join, op11_whitening, op12_simhash, op13_alignment)}
 
 # The words of the contracts in DuckDB's expressions.
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
