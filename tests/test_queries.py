@@ -3,9 +3,9 @@
 import pytest
 from oracle import SF, connect, rows
 
-from ultraframe.plans import model, oracles, queries
+from ultraframe.plans import fitted, longer, model, oracles, queries, streams, trained
 
-SQL, QUERIES = {**oracles.SQL, **model.SQL}, {**queries.QUERIES, **model.QUERIES}
+SQL, QUERIES = {**oracles.SQL, **model.SQL, **fitted.SQL, **longer.SQL, **trained.SQL, **streams.SQL}, {**queries.QUERIES, **model.QUERIES, **fitted.QUERIES, **longer.QUERIES, **trained.QUERIES, **streams.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

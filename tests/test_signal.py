@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ultraframe.functions import names
 from ultraframe.functions.scalar import half_even
 from ultraframe.operators import activity, cluster, evaluate, framing, pooling, separation, spectral
+from ultraframe.operators.factors import Normalized
 from ultraframe.sources import audio, tables
 
 SF = "/root/testdata/sf0.001"
@@ -129,7 +130,7 @@ def test_factorization_lowers_the_error():
     v = np.random.default_rng(4).random((9, 13)) + 0.01
     few, many = separation.factorize(v, 3, steps=1)[2], separation.factorize(v, 3, steps=100)[2]
     assert many < few
-    w, h, _ = separation.factorize(v, 3)
+    w, h, _ = separation.factorize(v, 3, rule=Normalized())
     assert (w >= 0).all() and (h >= 0).all() and np.allclose(np.linalg.norm(w, axis=0), 1)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import half_even, ratio, whole
+from .counted import percentiles
 
 # The defaults of the analysis.
 AUDIBLE_HZ, SNR_DB, MIN_LEVEL_DB, PLAYING_DB, FLOOR_SHARE, WINDOW_S = 20_000.0, 10.0, -70.0, -15.0, 0.1, 1.0
@@ -21,7 +22,8 @@ def noise_floors(cells: DataFrame, audible: float = AUDIBLE_HZ, share: float = F
     """clip_id, the floors of all, audible and ultrasonic cells, and the thresholds over them.
 
     Exact percentiles keep the values of a clip in one aggregation buffer; for
-    very long clips approximate=True gives percentile_approx instead.
+    very long clips counted_floors gives the same without one, and
+    approximate=True percentile_approx.
     """
     low = F.col("freq") <= audible
     at = (lambda c: F.percentile_approx(c, share)) if approximate else (lambda c: F.percentile(c, F.lit(share)))
@@ -30,9 +32,22 @@ def noise_floors(cells: DataFrame, audible: float = AUDIBLE_HZ, share: float = F
         at(F.when(low, F.col("mag_db"))).alias("noise_audible_db"),
         at(F.when(~low, F.col("mag_db"))).alias("noise_ultra_db"),
     )
+    return _thresholds(out, snr_db, least_db)
+
+
+def counted_floors(cells: DataFrame, audible: float = AUDIBLE_HZ, share: float = FLOOR_SHARE, snr_db: float = SNR_DB, least_db: float = MIN_LEVEL_DB) -> DataFrame:
+    """noise_floors by counting, for clips of any length: no buffer holds the values of a clip."""
+    band = F.when(F.col("freq") <= audible, "audible").otherwise("ultra")
+    values = cells.select("clip_id", F.explode(F.array(F.lit("global"), band)).alias("band"), F.col("mag_db").alias("x"))
+    found = percentiles(values, ["clip_id", "band"], share, F.floor(F.col("x") * 32))
+    of = lambda name: F.max(F.when(F.col("band") == name, F.col("value"))).alias(f"noise_{name}_db")
+    return _thresholds(found.groupBy("clip_id").agg(*map(of, ("global", "audible", "ultra"))), snr_db, least_db)
+
+
+def _thresholds(floors: DataFrame, snr_db: float, least_db: float) -> DataFrame:
     for name in ("global", "ultra"):
-        out = out.withColumn(f"{name}_threshold_db", F.greatest(F.col(f"noise_{name}_db") + snr_db, F.lit(float(least_db))))
-    return out.withColumn("status", F.when(F.col("noise_ultra_db").isNull(), "no_band").otherwise("ok"))
+        floors = floors.withColumn(f"{name}_threshold_db", F.greatest(F.col(f"noise_{name}_db") + snr_db, F.lit(float(least_db))))
+    return floors.withColumn("status", F.when(F.col("noise_ultra_db").isNull(), "no_band").otherwise("ok"))
 
 
 def frames(cells: DataFrame, floors: DataFrame, audible: float = AUDIBLE_HZ, playing_db: float = PLAYING_DB) -> DataFrame:

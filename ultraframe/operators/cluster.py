@@ -30,40 +30,42 @@ def cosine_affinity(x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return pair_sums(x, by).select(*by, "a", "b", ((F.coalesce(cosine, F.lit(0.0)) + 1) / 2).alias("weight"))
 
 
-def correlation_affinity(x: DataFrame) -> DataFrame:
+def correlation_affinity(x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(r + 1) / 2; a constant component correlates with nothing."""
     n = F.col("n")
     spread = F.greatest(n * F.col("saa") - F.col("sa") * F.col("sa"), F.lit(0.0)) * F.greatest(n * F.col("sbb") - F.col("sb") * F.col("sb"), F.lit(0.0))
     r = (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.nullif(F.sqrt(spread), F.lit(0.0))
-    return pair_sums(x).select("a", "b", ((F.coalesce(r, F.lit(0.0)) + 1) / 2).alias("weight"))
+    return pair_sums(x, by).select(*by, "a", "b", ((F.coalesce(r, F.lit(0.0)) + 1) / 2).alias("weight"))
 
 
-def blended(spectral: DataFrame, temporal: DataFrame, temporal_weight: float) -> DataFrame:
-    joined = spectral.withColumnRenamed("weight", "s").join(temporal.withColumnRenamed("weight", "t"), ["a", "b"])
-    return joined.select("a", "b", clip(F.col("s") * (1 - temporal_weight) + F.col("t") * temporal_weight).alias("weight"))
+def blended(spectral: DataFrame, temporal: DataFrame, temporal_weight: float, by: tuple[str, ...] = ()) -> DataFrame:
+    joined = spectral.withColumnRenamed("weight", "s").join(temporal.withColumnRenamed("weight", "t"), [*by, "a", "b"])
+    return joined.select(*by, "a", "b", clip(F.col("s") * (1 - temporal_weight) + F.col("t") * temporal_weight).alias("weight"))
 
 
 def ward(x: np.ndarray, n: int) -> np.ndarray:
-    """Labels of n clusters, merging the pair whose merge adds least to the squared distances."""
-    groups = {i: [i] for i in range(len(x))}
-    while len(groups) > max(1, n):
-        def cost(i: int, j: int) -> float:
-            a, b = x[groups[i]], x[groups[j]]
-            return len(a) * len(b) / (len(a) + len(b)) * float(((a.mean(0) - b.mean(0)) ** 2).sum())
+    """Labels of n clusters, merging the pair whose merge adds least to the squared distances, of equals the first.
 
-        i, j = min(((i, j) for i in groups for j in groups if i < j), key=lambda p: (cost(*p), p))
-        groups[i] += groups.pop(j)
-    labels = np.zeros(len(x), int)
-    for place, i in enumerate(sorted(groups)):
-        labels[groups[i]] = place
-    return labels
-
-
-def spectral(affinity: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
-    """Labels from the smallest eigenvectors of the normalized Laplacian, then k-means."""
-    d = 1 / np.sqrt(np.maximum(affinity.sum(axis=1), 1e-12))
-    _, vectors = np.linalg.eigh(np.eye(len(d)) - d[:, None] * affinity * d[None, :])
-    x = vectors[:, :n] * d[:, None]
+    The cost of a merged cluster follows from those of its two parts, so members are looked at once.
+    """
+    m = len(x)
+    cost = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
+    np.fill_diagonal(cost, np.inf)
+    size, label, alive = np.ones(m), np.arange(m), m
+    while alive > max(1, n):
+        i, j = divmod(int(np.argmin(np.triu(np.round(cost, 9), 1) + np.where(np.tri(m, dtype=bool), np.inf, 0))), m)
+        others = np.isfinite(cost[i]) & np.isfinite(cost[j])
+        both = ((size[i] + size) * cost[i] + (size[j] + size) * cost[j] - size * cost[i, j]) / (size[i] + size[j] + size)
+        cost[i, others] = cost[others, i] = both[others]
+        cost[j, :] = cost[:, j] = np.inf
+        size[i] += size[j]
+        label[label == j] = i
+        alive -= 1
+    return np.unique(label, return_inverse=True)[1]
+
+
+def kmeans(x: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
+    """Labels of the best of ten k-means, numbered by their first members."""
     rng = np.random.default_rng(seed)
     best, least = np.zeros(len(x), int), np.inf
     for _ in range(10):
@@ -77,7 +79,15 @@ def spectral(affinity: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
         loss = ((x - centre[label]) ** 2).sum()
         if loss < least:
             best, least = label, loss
-    return best
+    _, first, label = np.unique(best, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[label]
+
+
+def spectral(affinity: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
+    """Labels from the smallest eigenvectors of the normalized Laplacian, then k-means."""
+    d = 1 / np.sqrt(np.maximum(affinity.sum(axis=1), 1e-12))
+    _, vectors = np.linalg.eigh(np.eye(len(d)) - d[:, None] * affinity * d[None, :])
+    return kmeans(vectors[:, :n] * d[:, None], n, seed)
 
 
 def _matrix(rows: pd.DataFrame) -> np.ndarray:
@@ -92,7 +102,17 @@ def cluster_ward(components: DataFrame, n: int) -> DataFrame:
         labels = np.arange(len(ks)) if n >= len(ks) else ward(_matrix(rows), n)
         return pd.DataFrame({"group": rows["group"].iloc[0], "k": ks, "cluster": labels})
 
-    return components.groupBy("group").applyInPandas(run, "group bigint, k int, cluster int")
+    return components.groupBy("group").applyInPandas(run, f"group {components.schema['group'].dataType.simpleString()}, k int, cluster int")
+
+
+def cluster_components(components: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """group, k, cluster by k-means over the components (group, k, i, x) of each group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ks = np.sort(rows["k"].unique())
+        return pd.DataFrame({"group": rows["group"].iloc[0], "k": ks, "cluster": kmeans(_matrix(rows), min(n, len(ks)), seed)})
+
+    return components.groupBy("group").applyInPandas(run, f"group {components.schema['group'].dataType.simpleString()}, k int, cluster int")
 
 
 def cluster_spectral(affinities: DataFrame, n: int) -> DataFrame:
@@ -107,7 +127,7 @@ def cluster_spectral(affinities: DataFrame, n: int) -> DataFrame:
         labels = np.arange(len(ks)) if n >= len(ks) else spectral(m, n)
         return pd.DataFrame({"group": rows["group"].iloc[0], "k": ks, "cluster": labels})
 
-    return affinities.groupBy("group").applyInPandas(run, "group bigint, k int, cluster int")
+    return affinities.groupBy("group").applyInPandas(run, f"group {affinities.schema['group'].dataType.simpleString()}, k int, cluster int")
 
 
 def cluster_power(affinity: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -139,26 +159,43 @@ def members(activations: DataFrame, labels: DataFrame) -> DataFrame:
     return energy.join(labels, "k").groupBy("cluster").agg(F.array_sort(F.collect_list("k")).alias("components"), F.count("*").alias("n"), F.sum("e").alias("energy"))
 
 
-def features(spectra: DataFrame, activations: DataFrame, rate: int, n_fft: int, mels: int, keep: int) -> DataFrame:
-    """k, name, x: cepstra, centroid, rolloff, flatness, skew and correlations of components, each feature standardized.
+def features(spectra: DataFrame, activations: DataFrame, rate: int, n_fft: int, mels: int, keep: int, by: tuple[str, ...] = (), correlations: bool = True) -> DataFrame:
+    """The columns of by, k, name, x: cepstra, centroid, rolloff, flatness, skew and correlations of components, each feature standardized.
 
-    spectra and activations are (k, i, x) over bins and over frames.
+    spectra and activations are (by, k, i, x) over bins and over frames.
     """
-    cells = spectra.select(F.col("k").alias("clip_id"), F.lit(0).alias("t"), F.col("i").alias("k"), (F.col("i") * float(rate) / n_fft).alias("freq"), F.col("x").alias("mag"))
-    row = lambda frame, key, name, value: frame.select(F.col(key).alias("k"), name.alias("name"), value.alias("x"))
+    keys = (*by, "k")
+    own = F.struct(*keys).alias("clip_id")
+    cells = spectra.select(own, F.lit(0).alias("t"), F.col("i").alias("k"), (F.col("i") * float(rate) / n_fft).alias("freq"), F.greatest("x", F.lit(1e-10)).alias("mag"))
+    of_row = lambda frame, name, value: frame.select(*[F.col(f"clip_id.{c}").alias(c) for c in keys], name.alias("name"), value.alias("x"))
     mfccs = mfcc(log_mel(cells, rate, n_fft, mels), mels, keep)
     shapes = shape(cells)
-    parts = [row(mfccs, "clip_id", F.concat(F.lit("mfcc_"), F.col("c")), F.col("mfcc"))]
-    parts += [row(shapes, "clip_id", F.lit(c), F.col(c)) for c in ("centroid", "rolloff", "flatness")]
-    parts.append(row(population_skew(activations, "k", "x"), "k", F.lit("skew"), F.col("skew")))
-    pairs = correlation_affinity(activations).withColumn("r", 2 * F.col("weight") - 1)
-    parts.append(row(pairs, "a", F.concat(F.lit("corr_"), F.col("b")), F.col("r")))
-    parts.append(row(pairs.where("a < b"), "b", F.concat(F.lit("corr_"), F.col("a")), F.col("r")))
-    return standardized(reduce(DataFrame.unionByName, parts))
-
-
-def standardized(long: DataFrame) -> DataFrame:
-    """k, name, x with each feature less its mean, over its population deviation; a constant one becomes 0."""
-    w = Window.partitionBy("name")
+    parts = [of_row(mfccs, F.concat(F.lit("mfcc_"), F.col("c")), F.col("mfcc"))]
+    parts += [of_row(shapes, F.lit(c), F.col(c)) for c in ("centroid", "rolloff", "flatness")]
+    parts.append(population_skew(activations, keys, "x").select(*keys, F.lit("skew").alias("name"), F.col("skew").alias("x")))
+    if correlations:
+        pairs = correlation_affinity(activations, by).withColumn("r", 2 * F.col("weight") - 1)
+        for this, other in (("a", "b"), ("b", "a")):
+            parts.append(pairs.where("true" if this == "a" else "a < b").select(*by, F.col(this).alias("k"), F.concat(F.lit("corr_"), F.col(other)).alias("name"), F.col("r").alias("x")))
+    return standardized(reduce(DataFrame.unionByName, parts), by)
+
+
+def standardized(long: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, k, name, x with each feature less its mean, over its population deviation; a constant one, or one that is null, becomes 0."""
+    w = Window.partitionBy(*by, "name")
     spread = F.stddev_pop("x").over(w)
-    return long.select("k", "name", F.when(spread > 1e-12, (F.col("x") - F.avg("x").over(w)) / spread).otherwise(0.0).alias("x"))
+    return long.select(*by, "k", "name", F.coalesce(F.when(spread > 1e-12, (F.col("x") - F.avg("x").over(w)) / spread), F.lit(0.0)).alias("x"))
+
+
+def labelled(spectra: DataFrame, activations: DataFrame, n: int, method: str, rate: int, n_fft: int, mels: int, keep: int, temporal_weight: float = 0.6) -> DataFrame:
+    """clip_id, k, cluster for the components (clip_id, k, i, x) of each clip: agglomerative and k-means by all features, spectral by timbre and common activity."""
+    by, group = ("clip_id",), lambda frame: frame.withColumnRenamed("clip_id", "group")
+    if method in ("agglomerative", "k-means"):
+        rows = group(features(spectra, activations, rate, n_fft, mels, keep, by)).withColumnRenamed("name", "i")
+        found = (cluster_ward if method == "agglomerative" else cluster_components)(rows, n)
+    elif method == "spectral":
+        timbre = features(spectra, activations, rate, n_fft, mels, keep, by, correlations=False).withColumnRenamed("name", "i")
+        found = cluster_spectral(group(blended(cosine_affinity(timbre, by), correlation_affinity(activations, by), temporal_weight, by)), n)
+    else:
+        raise ValueError(f"no clustering named {method}")
+    return found.withColumnRenamed("group", "clip_id")

@@ -73,3 +73,36 @@ def stripes(cells: DataFrame, value: str, time: tuple[str, int, int], frequency:
     """value as 0 in n stripes of time and n of frequency of each clip; both are (column, size, width of a stripe)."""
     hit = _striped(F.col(time[0]), F.col(by), *time[1:], n, seed) | _striped(F.col(frequency[0]), F.col(by), *frequency[1:], n, seed + n)
     return cells.withColumn(value, F.when(hit, 0.0).otherwise(F.col(value)))
+
+
+def convolved(cells: DataFrame, kernel: DataFrame, by: str = "clip_id") -> DataFrame:
+    """by, t, k, c, x: cells (by, t, k, c, x) under a kernel (dt, dk, c, out, weight) of offsets, channels in and channels out; beyond the edges are zeros.
+
+    The kernel is as large as the layer, such as 9 x 64 x 64 rows, and is
+    broadcast; each cell sends its part to the cells around it, and parts are
+    added up before they are moved.
+    """
+    parts = cells.join(F.broadcast(kernel), "c").select(by, (F.col("t") - F.col("dt")).alias("t"), (F.col("k") - F.col("dk")).alias("k"), F.col("out").alias("c"), (F.col("x") * F.col("weight")).alias("x"), ((F.col("dt") == 0) & (F.col("dk") == 0)).alias("own"))
+    # Places beyond the edges get parts of neighbours, but none of their own.
+    return parts.groupBy(by, "t", "k", "c").agg(F.sum("x").alias("x"), F.bool_or("own").alias("own")).where("own").drop("own")
+
+
+def pooled(cells: DataFrame, time: int = 2, frequency: int = 2, how: str = "avg", by: str = "clip_id") -> DataFrame:
+    """by, t, k, c, x: mean, largest, or both added (avg+max), of blocks of time x frequency cells; what fills no block is dropped."""
+    size = F.count("*")
+    value = {"avg": F.avg("x"), "max": F.max("x"), "avg+max": F.avg("x") + F.max("x")}[how]
+    found = cells.groupBy(by, F.expr(f"t div {time}").cast("int").alias("t"), F.expr(f"k div {frequency}").cast("int").alias("k"), "c").agg(value.alias("x"), size.alias("n"))
+    return found.where(F.col("n") == time * frequency).drop("n")
+
+
+def channel_stats(cells: DataFrame, gain: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """c, mean, var, gain, shift: a row for each channel, as batch_norm takes them."""
+    return cells.groupBy("c").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var")).withColumns({"gain": F.lit(gain), "shift": F.lit(shift)})
+
+
+def conv_block(cells: DataFrame, kernels: list[DataFrame], time: int = 2, frequency: int = 2, how: str = "avg", by: str = "clip_id") -> DataFrame:
+    """cells under each kernel in turn, normalized by channel over all cells and without what is negative, then pooled."""
+    for kernel in kernels:
+        under = convolved(cells, kernel, by)
+        cells = batch_norm(under, channel_stats(under), "c", "x").withColumn("x", F.greatest("x", F.lit(0.0)))
+    return pooled(cells, time, frequency, how, by)

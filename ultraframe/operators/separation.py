@@ -6,17 +6,19 @@ Factors are long tables w (clip_id, f, k, w) and h (clip_id, k, t, h); v is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import clip, decibel_ratio, dot, sigmoid
+from .factors import CHUNK, EPS, CoordinateDescent, Multiplicative, Rule, local, rows_of
 from .spectral import framed, istft, unit_phase
 
-EPS = 1e-10
-
 
 def measures(triples: DataFrame, rate: int) -> DataFrame:
     """clip_id, sdr, si_sdr, sir, duration_s of ref, est and other, all cut to the shortest."""
@@ -40,19 +42,26 @@ def product(w: DataFrame, h: DataFrame) -> DataFrame:
 
 
 def kl_step(v: DataFrame, w: DataFrame, h: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One multiplicative update for the Kullback-Leibler loss; columns of w come out with norm 1 and h scaled to match."""
+    """One update for the Kullback-Leibler loss on long tables: h, then w with the new h, then columns of w with norm 1 and h scaled to match.
+
+    factors.Normalized is the same step on chunks of frames.
+    """
 
     def quotient(w: DataFrame, h: DataFrame) -> DataFrame:
         return v.join(product(w, h), ["clip_id", "f", "t"]).select("clip_id", "f", "t", (F.col("v") / F.greatest("vhat", F.lit(EPS))).alias("q"))
 
-    up = quotient(w, h).join(h, ["clip_id", "t"]).groupBy("clip_id", "f", "k").agg(F.sum(F.col("q") * F.col("h")).alias("up"))
-    down = h.groupBy("clip_id", "k").agg(F.sum("h").alias("down"))
-    w1 = w.join(up, ["clip_id", "f", "k"]).join(down, ["clip_id", "k"]).select("clip_id", "f", "k", (F.col("w") * F.col("up") / F.greatest("down", F.lit(EPS))).alias("w"))
-    up = quotient(w1, h).join(w1, ["clip_id", "f"]).groupBy("clip_id", "k", "t").agg(F.sum(F.col("q") * F.col("w")).alias("up"))
-    down = w1.groupBy("clip_id", "k").agg(F.sum("w").alias("down"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    h1 = h.join(up, ["clip_id", "k", "t"]).join(down, ["clip_id", "k"]).select("clip_id", "k", "t", (F.col("h") * F.col("up") / F.greatest("down", F.lit(EPS)) * F.greatest("norm", F.lit(EPS))).alias("h"))
-    w1 = w1.join(down.select("clip_id", "k", "norm"), ["clip_id", "k"]).select("clip_id", "f", "k", (F.col("w") / F.greatest("norm", F.lit(EPS))).alias("w"))
-    return w1, h1
+    def renewed(old: str) -> Column:
+        return F.greatest(F.col(old) * F.col("up") / (F.col("down") + EPS), F.lit(EPS)).alias(old)
+
+    up = quotient(w, h).join(w, ["clip_id", "f"]).groupBy("clip_id", "k", "t").agg(F.sum(F.col("q") * F.col("w")).alias("up"))
+    down = w.groupBy("clip_id", "k").agg(F.sum("w").alias("down"))
+    h1 = h.join(up, ["clip_id", "k", "t"]).join(down, ["clip_id", "k"]).select("clip_id", "k", "t", renewed("h"))
+    up = quotient(w, h1).join(h1, ["clip_id", "t"]).groupBy("clip_id", "f", "k").agg(F.sum(F.col("q") * F.col("h")).alias("up"))
+    down = h1.groupBy("clip_id", "k").agg(F.sum("h").alias("down"))
+    w1 = w.join(up, ["clip_id", "f", "k"]).join(down, ["clip_id", "k"]).select("clip_id", "f", "k", renewed("w"))
+    norm = w1.groupBy("clip_id", "k").agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) + EPS).alias("norm"))
+    h1 = h1.join(norm, ["clip_id", "k"]).select("clip_id", "k", "t", (F.col("h") * F.col("norm")).alias("h"))
+    return w1.join(norm, ["clip_id", "k"]).select("clip_id", "f", "k", (F.col("w") / F.col("norm")).alias("w")), h1
 
 
 def start_factors(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,23 +78,18 @@ def start_factors(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(w, EPS), np.maximum(h, EPS)
 
 
-def factorize(v: np.ndarray, k: int, beta: float = 1.0, steps: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Multiplicative updates for the beta loss (2 Frobenius, 1 Kullback-Leibler, 0 Itakura-Saito)."""
+def factorize(v: np.ndarray, k: int, beta: float = 1.0, steps: int = 50, tolerance: float = 1e-4, rule: Rule | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """w, h and the relative error for one spectrum (bins x frames).
+
+    Without a rule, coordinate descent for the Frobenius loss (beta 2), multiplicative updates for others.
+    """
     w, h = start_factors(v, k)
-    for _ in range(steps):
-        old = w.copy()
-        vh = np.maximum(w @ h, EPS)
-        w *= ((v * vh ** (beta - 2)) @ h.T) / np.maximum(vh ** (beta - 1) @ h.T, EPS)
-        vh = np.maximum(w @ h, EPS)
-        h *= (w.T @ (v * vh ** (beta - 2))) / np.maximum(w.T @ vh ** (beta - 1), EPS)
-        if np.linalg.norm(w - old) <= tolerance * np.linalg.norm(old):
-            break
-    norm = np.maximum(np.linalg.norm(w, axis=0), EPS)
-    return w / norm, h * norm[:, None], float(np.linalg.norm(v - w @ h) / max(np.linalg.norm(v), EPS))
+    w, h, _ = local(v.T, w, h.T, rule or (CoordinateDescent() if beta == 2 else Multiplicative(beta)), steps, tolerance)
+    return w, h.T, float(np.linalg.norm(v - w @ h.T) / max(np.linalg.norm(v), EPS))
 
 
 def fit(frames: DataFrame, k: int, beta: float = 1.0, steps: int = 50) -> DataFrame:
-    """clip_id, w, h (row by row) and error for the magnitudes (clip_id, t, mag array); one clip is one group."""
+    """clip_id, w, h (row by row) and error for the magnitudes (clip_id, t, mag array); one clip is one group, so for short clips; factors.factorize takes long ones."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(group.sort_values("t")["mag"].to_numpy()).T
@@ -139,6 +143,60 @@ def separated(cells: DataFrame, mask: DataFrame, n_fft: int, hop: int) -> DataFr
     return istft(framed(masked(cells, mask), by), n_fft, hop, by)
 
 
+def _masks(parts: np.ndarray, there: np.ndarray, kind: str, power: float, kernel: int, floor: float, width: float) -> np.ndarray:
+    """Refined masks of parts (sources x frames x bins) for the frames that kernel // 2 neighbours surround; there says which frames exist."""
+    if kind == "soft":
+        p = parts**power
+        mask = p / (p.sum(axis=0) + EPS)
+    elif kind == "hard":
+        mask = (np.round(parts, 9).argmax(axis=0)[None] == np.arange(len(parts))[:, None, None]).astype(float)
+    else:
+        raise ValueError(f"no mask named {kind}")
+    near = np.lib.stride_tricks.sliding_window_view(mask * there[None, :, None], kernel, axis=1)
+    smooth = np.clip(np.median(near, axis=-1), 0, 1)
+    return smooth / (1 + np.exp(-(smooth - floor) / (width + 1e-8)))
+
+
+def masked_frames(frames: DataFrame, w: DataFrame, h: DataFrame, mask: str = "soft", power: float = 2.0, kernel: int = 5, floor: float = 0.1, width: float = 0.05, length: int = CHUNK) -> DataFrame:
+    """clip_id, k, t, re, im: the frames (clip_id, t, re, im) under the refined mask of each source.
+
+    w (clip_id, f, k, w) and h (clip_id, k, t, h) are the sources' factors.  A mask
+    follows from the spectra of a clip and the activations of a frame and its
+    neighbours, so chunks of frames take those along, and no cell is a row.
+    """
+    kernel += kernel % 2 == 0
+    half = kernel // 2
+    array = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
+    by_clip = w.groupBy("clip_id").agg(array(["f", "k"], "w").alias("w"), (F.max("k") + 1).alias("sources"))
+    by_frame = h.groupBy("clip_id", "t").agg(array(["k"], "h").alias("h"))
+    # A frame goes to its own chunk, and near a border to the next one as well.
+    near = by_frame.withColumn("chunk", F.explode(F.sequence(F.expr(f"greatest(t - {half}, 0) div {length}"), F.expr(f"(t + {half}) div {length}"))))
+    near = near.groupBy("clip_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("c"))
+    near = near.select("clip_id", "chunk", F.transform("c", lambda x: x["t"].cast("double")).alias("at"), F.flatten(F.transform("c", lambda x: x["h"])).alias("h"))
+    own = frames.groupBy("clip_id", F.expr(f"t div {length}").cast("bigint").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("t", "re", "im"))).alias("c"))
+    part = lambda c: F.flatten(F.transform("c", lambda x: x[c])).alias(c)
+    own = own.select("clip_id", "chunk", F.transform("c", lambda x: x["t"].cast("double")).alias("t"), part("re"), part("im"))
+    key = frames.schema["clip_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, (t, re, im, at, gains, spectra) in rows_of(batches, "t", "re", "im", "at", "h", "w"):
+            sources = batch.column("sources")[i].as_py()
+            first = batch.column("chunk")[i].as_py() * length - half
+            n, where = len(t), at.astype(int) - first
+            there, near_h = np.zeros(n + 2 * half), np.zeros((n + 2 * half, sources))
+            inside = where < len(there)
+            there[where[inside]], near_h[where[inside]] = 1, gains.reshape(-1, sources)[inside]
+            parts = near_h.T[:, :, None] * spectra.reshape(-1, sources).T[:, None, :]
+            m = _masks(parts, there, mask, power, kernel, floor, width)
+            bins = m.shape[2]
+            edges = pa.array(np.arange(0, (sources * n + 1) * bins, bins, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array((m * x.reshape(n, bins)[None]).ravel())) for x in (re, im)]
+            keys = [batch.column("clip_id").take(pa.array(np.full(sources * n, i))), pa.array(np.repeat(np.arange(sources, dtype=np.int32), n)), pa.array(np.tile(t.astype(np.int32), sources))]
+            yield pa.record_batch([*keys, *lists], names=["clip_id", "k", "t", "re", "im"])
+
+    return own.join(near, ["clip_id", "chunk"]).join(by_clip, "clip_id").mapInArrow(run, f"clip_id {key}, k int, t int, re array<double>, im array<double>")
+
+
 def resynthesized(cells: DataFrame, w: DataFrame, h: DataFrame, n_fft: int, hop: int) -> DataFrame:
     """clip_id, n, x: the product of the factors with the phase of the spectrum, transformed back."""
     spectrum = cells.select("clip_id", "t", F.col("k").alias("f"), *(c.alias(n) for c, n in zip(unit_phase(F.col("re"), F.col("im")), ("re", "im"))))

@@ -129,9 +129,9 @@ def shape(cells: DataFrame, roll: float = 0.85) -> DataFrame:
     )
 
 
-def population_skew(frame: DataFrame, by: str, value: str) -> DataFrame:
+def population_skew(frame: DataFrame, by: str | tuple[str, ...], value: str) -> DataFrame:
     m = F.avg(value)
-    return frame.groupBy(by).agg(((F.avg(F.pow(value, F.lit(3))) - 3 * m * F.avg(F.pow(value, F.lit(2))) + 2 * F.pow(m, F.lit(3))) / F.nullif(F.pow(F.var_pop(value), F.lit(1.5)), F.lit(0.0))).alias("skew"))
+    return frame.groupBy(*([by] if isinstance(by, str) else by)).agg(((F.avg(F.pow(value, F.lit(3))) - 3 * m * F.avg(F.pow(value, F.lit(2))) + 2 * F.pow(m, F.lit(3))) / F.nullif(F.pow(F.var_pop(value), F.lit(1.5)), F.lit(0.0))).alias("skew"))
 
 
 def istft(frames: DataFrame, n_fft: int, hop: int, by: tuple[str, ...] = ("clip_id",)) -> DataFrame:

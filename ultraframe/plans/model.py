@@ -33,7 +33,7 @@ def separation_conditions(spark: SparkSession, sf: str) -> DataFrame:
     whole = T.triples(spark, sf)
     half = whole.withColumns({c: F.slice(c, 1, 32) for c in ("ref", "est")})
     both = separation.condition(separation.measures(whole, T.RATE), "whole", T.RATE).unionByName(separation.condition(separation.measures(half, T.RATE), "half", T.RATE))
-    return both.select("condition", "sample_rate", "clip_id", r("sdr", 5), r("sir", 5), "duration_s")
+    return both.select("condition", "sample_rate", "clip_id", r("sdr", 5), r("si_sdr", 5), r("sir", 5), "duration_s")
 
 
 def component_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,13 +157,14 @@ SQL = {
     "separated_sources": f"with {O.SOFT}, {COMPLEX}, ma as (select clip_id, so.k, t, f, re * m as re, im * m as im from so join cx using (clip_id, t, f)), {_back('ma', 'clip_id, k')}",
     "resynthesis": f"""with {O.FACTORS}, {COMPLEX}, vh as (select clip_id, f, t, sum(v) as v from pt group by all),
         ma as (select clip_id, t, f, v * (case when m > 1e-6 then re / m else 1 end) as re, v * (case when m > 1e-6 then im / m else 0 end) as im from (select *, sqrt(re * re + im * im) as m from cx) join vh using (clip_id, t, f)), {_back('ma', 'clip_id')}""",
-    "factor_change": f"""with {O.STEP}, n1 as (select clip_id, f, k, w1.w / norm as w from w1 join d1 using (clip_id, k))
-        select clip_id, round(sqrt(sum(pow(n1.w - w.w, 2))) / sqrt(sum(w.w * w.w)), 6) as change from w join n1 using (clip_id, f, k) group by 1""",
+    "factor_change": f"""with {O.STEP} select clip_id, round(sqrt(sum(pow(w1.w - w0.w, 2))) / sqrt(sum(w0.w * w0.w)), 6) as change from w0 join w1 using (clip_id, f, k) group by 1""",
     "separation_conditions": f"""with {O.CLIPS}, t as (select a.clip_id, a.n, a.x as r, b.x as o, a.x + 0.1 * b.x as e from s a join s b on b.clip_id = a.clip_id + 1 and a.n = b.n),
         c as (select *, 'whole' as condition from t union all select *, 'half' from t where n < 32),
         z as (select *, r - avg(r) over w as rz, e - avg(e) over w as ez, o - avg(o) over w as oz from c window w as (partition by condition, clip_id)),
-        a as (select condition, clip_id, count(*) as n, sum(r * r) as rr, sum((r - e) * (r - e)) as nn, sum(rz * rz) as rzz, sum(oz * oz) as ozz, sum(ez * rz) / (sum(rz * rz) + 1e-12) as al, sum(ez * oz) / (sum(oz * oz) + 1e-12) as be from z group by all)
-        select condition, 64 as sample_rate, clip_id, round(10 * log10((rr + 1e-12) / (nn + 1e-12)), 5) as sdr, round(10 * log10((al * al * rzz + 1e-12) / (be * be * ozz + 1e-12)), 5) as sir, n / 64.0::double as duration_s from a""",
+        a as (select condition, clip_id, count(*) as n, sum(r * r) as rr, sum((r - e) * (r - e)) as nn, sum(rz * rz) as rzz, sum(oz * oz) as ozz, sum(ez * rz) / (sum(rz * rz) + 1e-12) as al, sum(ez * oz) / (sum(oz * oz) + 1e-12) as be from z group by all),
+        d as (select condition, clip_id, sum(pow(ez - al * rz, 2)) as nz from z join a using (condition, clip_id) group by all)
+        select condition, 64 as sample_rate, clip_id, round(10 * log10((rr + 1e-12) / (nn + 1e-12)), 5) as sdr, round(10 * log10((al * al * rzz + 1e-12) / (nz + 1e-12)), 5) as si_sdr,
+               round(10 * log10((al * al * rzz + 1e-12) / (be * be * ozz + 1e-12)), 5) as sir, n / 64.0::double as duration_s from a join d using (condition, clip_id)""",
     "component_features": f"""with {O.SPECTRA}, {O.ACTIVE}, {O.CORR}, {O.MEL},
         mf as (select sp.k, mel, 10 * log10(greatest(sum(x * x * weight), 1e-10)) as v from sp join ml on ml.k = sp.i where weight > 0 group by all),
         cu as (select *, sum(x) over (partition by k order by i) as cum, sum(x) over (partition by k) as total from sp),
@@ -189,7 +190,7 @@ SQL = {
         k as (select *, greatest(least(x, 1 - 1e-6::double), 1e-6::double) as c from q)
         select clip_id, n::int as n, round(case when low >= 0 and high <= 1 then ln(c / (1 - c)) else x end, 6) + 0.0 as x from k""",
     "unit_phases": f"with {O.CELLS}, {COMPLEX} select clip_id, t, f as k, round(re / sqrt(re * re + im * im), 6) + 0.0 as c, round(im / sqrt(re * re + im * im), 6) + 0.0 as s from cx where sqrt(re * re + im * im) > 1e-6",
-    "channel_mean": f"with {O.CLIPS}, m as (select a.clip_id, a.n, (a.x + b.x) / 2 as x from s a join s b on a.clip_id = b.clip_id and b.n = 63 - a.n) select clip_id, n::int as n, round(x, 6) + 0.0 as x, round(greatest(x, 0), 6) + 0.0 as relu, round(least(greatest(x * 20, 0), 6), 6) + 0.0 as relu6 from m",
+    "channel_mean": "with m as (select vec_id as clip_id, (i - 1)::int as n, (embedding[i]::double + list_reverse(embedding)[i]::double) / 2 as x from embeddings, range(1, 65) as r(i)) select clip_id, n, round(x, 6) + 0.0 as x, round(greatest(x, 0), 6) + 0.0 as relu, round(least(greatest(x * 20, 0), 6), 6) + 0.0 as relu6 from m",
     "epoch_order": "select vec_id as clip_id, label as class, row_number() over (partition by label order by md5('3|' || vec_id), vec_id)::int as place from embeddings",
     "sorted_votes": O.SQL["majority_vote"],
 }

@@ -41,14 +41,28 @@ w as (select clip_id, f::int as f, k::int as k, (1 + (f * 3 + k * 5) % 7) / 7.0:
 h as (select clip_id, k::int as k, t::int as t, (1 + (t * 2 + k * 3) % 5) / 5.0::double as h from (select distinct clip_id from s), range(13) as a(t), range(3) as b(k)),
 v as (select clip_id, k as f, t, mag as v from cells),
 pt as (select clip_id, k, f, t, w * h as v from w join h using (clip_id, k))"""
-STEP = f"""{FACTORS},
-q0 as (select clip_id, f, t, v.v / greatest(sum(pt.v), 1e-10) as q from pt join v using (clip_id, f, t) group by clip_id, f, t, v.v),
-w1 as (select clip_id, f, k, any_value(w) * sum(q * h) / greatest(any_value(d), 1e-10) as w from q0 join h using (clip_id, t) join w using (clip_id, f, k)
-       join (select clip_id, k, sum(h) as d from h group by all) using (clip_id, k) group by all),
-q1 as (select clip_id, f, t, v.v / greatest(sum(w * h), 1e-10) as q from w1 join h using (clip_id, k) join v using (clip_id, f, t) group by clip_id, f, t, v.v),
-d1 as (select clip_id, k, sum(w) as d, greatest(sqrt(sum(w * w)), 1e-10) as norm from w1 group by all),
-h1 as (select clip_id, k, t, any_value(h) * sum(q * w) / greatest(any_value(d), 1e-10) * any_value(norm) as h
-       from q1 join w1 using (clip_id, f) join h using (clip_id, k, t) join d1 using (clip_id, k) group by all)"""
+
+
+def kl_steps(n: int) -> str:
+    """CTEs of n updates of w and h, h first; the last are w{n} and h{n}."""
+    parts = ["w0 as (from w)", "h0 as (from h)"]
+    for i in range(n):
+        q = "select clip_id, f, t, v.v / greatest(sum(w * h), 1e-10) as q from w{i} join h{j} using (clip_id, k) join v using (clip_id, f, t) group by clip_id, f, t, v.v"
+        parts += [
+            f"qh{i} as materialized ({q.format(i=i, j=i)})",
+            f"""hu{i} as materialized (select clip_id, k, t, greatest(any_value(h) * sum(q * w) / (any_value(d) + 1e-10), 1e-10) as h from qh{i} join w{i} using (clip_id, f) join h{i} using (clip_id, k, t)
+                join (select clip_id, k, sum(w) as d from w{i} group by all) using (clip_id, k) group by clip_id, k, t)""",
+            f"qw{i} as materialized ({q.format(i=i, j=f'u{i}')})",
+            f"""wu{i} as materialized (select clip_id, f, k, greatest(any_value(w) * sum(q * h) / (any_value(d) + 1e-10), 1e-10) as w from qw{i} join hu{i} using (clip_id, t) join w{i} using (clip_id, f, k)
+                join (select clip_id, k, sum(h) as d from hu{i} group by all) using (clip_id, k) group by clip_id, f, k)""",
+            f"no{i} as materialized (select clip_id, k, sqrt(sum(w * w)) + 1e-10 as norm from wu{i} group by all)",
+            f"w{i + 1} as materialized (select clip_id, f, k, w / norm as w from wu{i} join no{i} using (clip_id, k))",
+            f"h{i + 1} as materialized (select clip_id, k, t, h * norm as h from hu{i} join no{i} using (clip_id, k))",
+        ]
+    return ",\n".join(parts)
+
+
+STEP = f"{FACTORS}, {kl_steps(1)}"
 SOFT = f"""{FACTORS},
 so as (select clip_id, k, f, t, v * v / (sum(v * v) over (partition by clip_id, f, t) + 1e-10) as m from pt)"""
 
@@ -117,7 +131,7 @@ SQL = {
     "spectral_affinity": f"with {SPECTRA}, {COSINE} select a, b, round(weight, 6) as weight from cs",
     "temporal_affinity": f"with {CELLS}, {ACTIVE}, {CORR} select a, b, round(weight, 6) as weight from cr",
     "blended_affinity": f"with {SPECTRA}, {ACTIVE}, {COSINE}, {CORR} select a, b, round(least(greatest(cs.weight * 0.7 + cr.weight * 0.3, 0), 1), 6) as weight from cs join cr using (a, b)",
-    "nmf_step_w": f"with {STEP} select clip_id, f, k, round(w / norm, 6) as w from w1 join d1 using (clip_id, k)",
+    "nmf_step_w": f"with {STEP} select clip_id, f, k, round(w, 6) as w from w1",
     "nmf_step_h": f"with {STEP} select clip_id, k, t, round(h, 6) as h from h1",
     "soft_mask": f"with {SOFT} select clip_id, k, f, t, round(m, 6) as m from so",
     "hard_mask": f"with {FACTORS} select clip_id, k, f, t, (row_number() over (partition by clip_id, f, t order by round(v, 9) desc, k) = 1)::int::double as m from pt",
