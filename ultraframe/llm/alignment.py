@@ -21,7 +21,10 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,15 +41,19 @@ BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_b
 HEAVY = 1 << 16
 #: Linked pairs that a task expands at a time.
 BLOCK = 1 << 21
-#: Bytes of text encoded at a time.
-TEXTS = 1 << 20
+#: Bytes of text encoded at a time, words whose encodings a worker remembers, and the longest of them.
+TEXTS, KNOWN, LONG = 1 << 20, 1 << 19, 48
+# Characters that are surely no white space: printable ASCII, and letters of common scripts.
+SOLID = "!-~À-ɏͰ-ԯぁ-ヿ一-鿿가-힣"
+#: A space that begins a word after another word.
+BETWEEN = re.compile(f"(?<=[{SOLID}]) (?=[{SOLID}])")
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes of each id."""
+    """One tokenizer: ids of texts, and the bytes of each id; by_words says that no token ever spans a space BETWEEN words."""
 
-    def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
+    def __init__(self, pieces: list[bytes], by_words: bool):
+        self.pieces, self.by_words = pieces, by_words
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
 
     def bytes_of(self, ids: list[int]) -> bytes:
@@ -65,7 +72,11 @@ class ByteLevel(Side):
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
-        super().__init__([bytes(byte[c] for c in by_id[i]) if i in by_id and all(c in byte for c in by_id[i]) else b"" for i in range(max(by_id) + 1)])
+        pieces = [bytes(byte[c] for c in by_id[i]) if i in by_id and all(c in byte for c in by_id[i]) else b"" for i in range(max(by_id) + 1)]
+        parts = json.loads(self.model.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        # The pattern of byte-level vocabularies takes a space along with the word after it.
+        super().__init__(pieces, parts["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -77,7 +88,10 @@ class Pieces(Side):
 
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
+        pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        # Merges never cross a space where no piece has one after another character, and texts are taken as they are.
+        plain = self.model.normalize("ﬁ  Å x ") == "▁ﬁ▁▁Å▁x▁"
+        super().__init__(pieces, plain and not any(re.search("[^▁]▁", p) for p in names))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -85,10 +99,51 @@ class Pieces(Side):
 
 @cache
 def _side(path: str) -> Side:
-    """The tokenizer of a file, once for each worker; the path is one that executors can read."""
     return Pieces(path) if path.endswith(".model") else ByteLevel(path)
 
 
+class Both:
+    """Two tokenizers over the same texts.  Where both go word by word, a word is encoded once and remembered."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b, self.known = a, b, {}
+
+    def _ids(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """Ids of either side as 32-bit numbers, and whether both give back the text's bytes after a space."""
+        for t, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts)):
+            whole = b" " + t.encode()
+            yield array("I", x).tobytes(), array("I", y).tobytes(), self.a.bytes_of(x) == whole and self.b.bytes_of(y) == whole
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        if self.a.by_words and self.b.by_words:
+            words = [BETWEEN.split(t) for t in texts]
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            new = list({w for own in words for w in own}.difference(self.known))
+            self.known.update(zip(new, self._ids(new)))
+            found = []
+            for t, own in zip(texts, words):
+                x, y, good = zip(*map(self.known.__getitem__, own))
+                # Of a text with a word that doesn't come back, the whole decides.
+                found.append((b"".join(x), b"".join(y), all(good) or self._same(t, b"".join(x), b"".join(y))))
+            for w in new:
+                if len(w) > LONG:
+                    del self.known[w]
+        else:
+            found = list(self._ids(texts))
+        return [(np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64), good) for x, y, good in found]
+
+    def _same(self, text: str, x: bytes, y: bytes) -> bool:
+        whole = b" " + text.encode()
+        return all(side.bytes_of(np.frombuffer(ids, np.uint32).tolist()) == whole for side, ids in ((self.a, x), (self.b, y)))
+
+
+@cache
+def _both(byte_bpe: str, piece_bpe: str) -> Both:
+    """The tokenizers of two files, once for each worker; the paths are ones that executors can read."""
+    return Both(_side(byte_bpe), _side(piece_bpe))
+
+
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The elementary intervals' ends, and for each its token of either side."""
     ends = np.union1d(ends_a, ends_b)
@@ -141,14 +196,14 @@ def _tables(n_a: int, n_b: int) -> np.ndarray:
     return np.array([i + "," for i in ids_a] + [i + "|" for i in ids_a] + [i + "," for i in ids_b] + [i + ";" for i in ids_b], dtype=object)
 
 
-def _spelled(table: np.ndarray, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: int, n_b: int) -> str:
-    """The groups as a1,a2|b1;a3|b2,b3."""
+def _spelling(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """The groups as a1,a2|b1;a3|b2,b3: places in the list of _tables."""
     last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
     out = np.empty(len(a) + len(b), np.int64)
     # Before a token stand the groups before its own, and on the side b its group's tokens of a.
     out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + n_a * last_a
     out[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = 2 * n_a + b + n_b * last_b
-    return "".join(table[out].tolist())[:-1]
+    return out
 
 
 FIELDS = "doc_id place n_a n_b n_groups n_links groups_sha256 pairs times".split()
@@ -158,30 +213,38 @@ def aligned(documents: DataFrame, text: str = "text", id: str = "doc_id", byte_b
     """A row of FIELDS for each document, and for further blocks of its pairs rows of the same place without counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side_a, side_b = _side(byte_bpe), _side(piece_bpe)
+        both = _both(byte_bpe, piece_bpe)
+        side_a, side_b = both.a, both.b
         n_a, n_b = len(side_a.pieces), len(side_b.pieces)
         table = _tables(n_a, n_b)
         for batch in slices(batches, "text", TEXTS):
             texts = batch.column("text").to_pylist()
-            some = [t for t in texts if t]
-            encoded = iter(zip(some, side_a.encode(some), side_b.encode(some)))
-            rows, held = [], 0
-            for i, t in enumerate(texts):
-                own = next(encoded) if t else None
-                if own is None or side_a.bytes_of(own[1]) != (whole := b" " + own[0].encode()) or side_b.bytes_of(own[2]) != whole:
-                    rows.append((i, 0, 0, 0, 0, "", None, None))
-                    continue
-                a, b = np.array(own[1], dtype=np.int64), np.array(own[2], dtype=np.int64)
+            some = [i for i, t in enumerate(texts) if t]
+            good, ids_a, ids_b = [], [], []
+            for i, (x, y, same) in zip(some, both.encode([texts[i] for i in some])):
+                if same:
+                    good.append(i)
+                    ids_a.append(x)
+                    ids_b.append(y)
+            rows: list[tuple] = [(i, 0, 0, 0, 0, "", None, None) for i in sorted(set(range(len(texts))).difference(good))]
+            if good:
+                # Texts one after another: their ends are shared by both sides, so no group crosses one.
+                a, b = np.concatenate(ids_a), np.concatenate(ids_b)
                 group_a, group_b = groups(np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b]))
-                digest = hashlib.sha256(_spelled(table, a, b, group_a, group_b, n_a, n_b).encode()).hexdigest()
-                links = int((np.bincount(group_a) * np.bincount(group_b)).sum())
-                head = (len(a), len(b), int(group_a[-1]) + 1, links, digest)
-                for found, times in pairs(a, b, group_a, group_b, block):
-                    rows.append((i, *head, found, times))
-                    head, held = (None,) * 5, held + len(found)
-                    if held >= block:
-                        yield _batch(batch, rows)
-                        rows, held = [], 0
+                spelled = table[_spelling(a, b, group_a, group_b, n_a, n_b)]
+                links = np.append(0, np.cumsum(np.bincount(group_a) * np.bincount(group_b)))
+                end_a, end_b, held = np.cumsum([len(x) for x in ids_a]), np.cumsum([len(x) for x in ids_b]), 0
+                for i, x, y, to_a, to_b in zip(good, ids_a, ids_b, end_a.tolist(), end_b.tolist()):
+                    at_a, at_b = to_a - len(x), to_b - len(y)
+                    first, last = int(group_a[at_a]), int(group_a[to_a - 1]) + 1
+                    digest = hashlib.sha256("".join(spelled[at_a + at_b : to_a + to_b].tolist())[:-1].encode()).hexdigest()
+                    head = (len(x), len(y), last - first, int(links[last] - links[first]), digest)
+                    for found, times in pairs(a[at_a:to_a], b[at_b:to_b], group_a[at_a:to_a] - first, group_b[at_b:to_b] - first, block):
+                        rows.append((i, *head, found, times))
+                        head, held = (None,) * 5, held + len(found)
+                        if held >= block:
+                            yield _batch(batch, rows)
+                            rows, held = [], 0
             if rows:
                 yield _batch(batch, rows)
 
