@@ -16,7 +16,7 @@ from ultraframe.llm.jaccard import one_of_each
 from ultraframe.llm.lines import dedup_lines
 from ultraframe.llm.mixing import sample
 from ultraframe.llm.queries import table
-from ultraframe.llm.storage import written
+from ultraframe.llm.storage import exact, written
 from ultraframe.llm.toxicity import fit, held_out, score
 from ultraframe.shipping import ship
 
@@ -24,13 +24,13 @@ from ultraframe.shipping import ship
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity score of 0.5 or more go."""
     index = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return score(docs, index).where("score < 0.5").select(*docs.columns)
+    return score(docs, index).where("score < 0.5").select(*[exact(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go, and documents that held nothing else."""
     found = dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*[exact(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

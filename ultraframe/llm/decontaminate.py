@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
-from .storage import saved
+from .storage import exact, saved
 
 #: Words of a window, and of a k-gram; w follows.
 WINDOW, GRAM = 10, 5
@@ -175,21 +175,24 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
     """
     spark: SparkSession = documents.sparkSession
     documents = documents.drop(*[f.name for f in ADDED])
+    names = {f"c{i}": c for i, c in enumerate(documents.columns)}
+    inner = {c: n for n, c in names.items()}
+    documents, text = documents.select(*[exact(c).alias(n) for n, c in names.items()]), inner[text]
     kept = T.StructType([f for f in documents.schema.fields] + ADDED)
     blocks = _blocks(benchmark, item_id, item_text, block_words)
     first = next(blocks)
     out = documents.mapInArrow(_pass(spark.sparkContext.broadcast(first), text, to_arrow_schema(kept)), kept)
-    more, key = [], F.xxhash64(F.col(f"`{text}`"))
+    more, key = [], F.xxhash64(text)
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)
-        texts = documents.select(key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+        texts = documents.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
         more.append(saved(texts.mapInArrow(_hits(shared), "key bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>").dropDuplicates(["key"])))
         shared.destroy()
     if not more:
-        return out
+        return out.withColumnsRenamed(names)
     # Equal texts have equal hits, so a text stands for all rows that have it.
     found = reduce(DataFrame.union, more).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    out = out.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), key.alias("key"), *[f.name for f in ADDED]).join(found, "key", "left")
+    out = out.select(F.struct(*documents.columns).alias("d"), key.alias("key"), *[f.name for f in ADDED]).join(found, "key", "left")
     none = F.array().cast(SPANS)
     spans = F.array_sort(F.concat("hit_spans", F.coalesce("spans", none)))
 
@@ -200,10 +203,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
         return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
 
     items = F.array_sort(F.array_union("hit_items", F.coalesce("items", F.array().cast("array<string>"))))
-    return out.select("d.*", "n_words", F.aggregate(spans, none, add).alias("hit_spans"), items.alias("hit_items"))
+    return out.select("d.*", "n_words", F.aggregate(spans, none, add).alias("hit_spans"), items.alias("hit_items")).withColumnsRenamed(names)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a benchmark window, with their own columns."""
     found = find_contamination(documents, benchmark, **options)
-    return found.where(F.size("hit_spans") == 0).select(*documents.columns)
+    return found.where(F.size("hit_spans") == 0).select(*[exact(c) for c in documents.columns])

@@ -218,6 +218,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     the smaller id.  Rows with a null id, and vectors that are null, zero or
     hold null or non-finite components, take no part; nor do vectors of another
     length than most have.  Rows that repeat an id and a vector count once.
+    Vectors are arrays of floats or of doubles.
     """
     rows = usable(vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(column).alias("vector")), "vector").where("id is not null")
     widths = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("top"))
@@ -226,6 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     if most is None:
         return vectors.sparkSession.createDataFrame([], out)
     width, n, top = most.w, most.n, float(most.top)
+    kind = rows.schema["vector"].dataType.elementType.simpleString()
     rows = rows.where(F.size("vector") == width).withColumn("key", F.xxhash64("vector"))
     asked = usable(queries.select(F.col(vec_id).cast("bigint").alias("id"), F.col(column).alias("vector")), "vector").where((F.size("vector") == width) & F.col("id").isNotNull()).select("id", F.xxhash64("vector").alias("key")).distinct()
 
@@ -242,7 +244,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     nodes = cells.repartitionByRange(ranges, "code").mapInArrow(_counted(limit, BITS), "level int, prefix bigint, n bigint").groupBy("level", "prefix").agg(F.sum("n").alias("n")).toArrow()
     shared = spark.sparkContext.broadcast(Homes(*(np.asarray(nodes[c]) for c in ("level", "prefix", "n")), limit, trees, BITS))
     visits = saved(points.where("asks").select("key", "vector").mapInArrow(_asked(width, shared, trees * leaf // 2, k + 1), "home bigint, key bigint"))
-    stored = points.select("key", "least", "vector").mapInArrow(_housed(width, top, shared), "home bigint, key bigint, least bigint, vector array<float>")
+    stored = points.select("key", "least", "vector").mapInArrow(_housed(width, top, shared), f"home bigint, key bigint, least bigint, vector array<{kind}>")
     dealt = lambda c: F.pmod(F.xxhash64("key"), c).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     count = spark.createDataFrame(pa.table({"home": np.arange(len(shared.value.count)), "stored": shared.value.count}))

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import saved
+from .storage import exact, saved
 
 #: Words of a shingle, and the similarity in percent at which two documents link.
 SHINGLE, NEAR = 4, 85
@@ -635,10 +635,11 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Rows without words and rows with a null id stay; of rows that repeat id and
     text one stays.
     """
+    columns = [exact(c) for c in documents.columns]
     found = saved(near_duplicates(documents, doc_id, text, **options).select(doc_id, "component_id"))
     gone = found.where(F.col("component_id") < F.col(doc_id)).select(doc_id).distinct()
-    kept = documents.join(gone, doc_id, "left_anti").select(*documents.columns)
+    kept = documents.join(gone, doc_id, "left_anti").select(*columns)
     repeated = saved(found.groupBy(doc_id).count().where(f"count > 1 and {doc_id} is not null").select(doc_id))
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, doc_id, "left_anti").select(*documents.columns).union(kept.join(repeated, doc_id, "left_semi").select(*documents.columns).dropDuplicates([doc_id, text]))
+    return kept.join(repeated, doc_id, "left_anti").select(*columns).union(kept.join(repeated, doc_id, "left_semi").select(*columns).dropDuplicates([doc_id, text]))

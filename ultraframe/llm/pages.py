@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .storage import exact
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<(?:/?[a-zA-Z]|[!?])[^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -357,6 +358,6 @@ def extract(pages: DataFrame, weights: dict[str, float] = PRIOR, source: str = "
     added = ("text", "n_blocks", "n_kept", "n_turned")
     rest = [c for c in pages.columns if c not in (*added, source)]
     inner = [f"c{i}" for i in range(len(rest))]
-    frame = pages.select(*[F.col(c).alias(n) for c, n in zip(rest, inner)], F.coalesce(F.col(source), F.lit("")).alias("html"))
+    frame = pages.select(*[exact(c).alias(n) for c, n in zip(rest, inner)], F.coalesce(exact(source), F.lit("")).alias("html"))
     shape = "".join(f"{n} {pages.schema[c].dataType.simpleString()}, " for c, n in zip(rest, inner))
     return frame.mapInArrow(_extract(inner, weights), f"{shape}text string, n_blocks bigint, n_kept bigint, n_turned bigint").withColumnsRenamed(dict(zip(inner, rest)))

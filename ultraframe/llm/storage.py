@@ -1,10 +1,16 @@
-"""Checkpoints in the folder that driver and executors share."""
+"""Checkpoints in the folder that driver and executors share, and columns by their exact names."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def exact(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def prepare(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import saved
+from .storage import exact, saved
 
 #: Most labelled examples of the index, which bounds the broadcast (about 12 bytes for each term of each).
 EXAMPLES = 5_000
@@ -305,7 +305,7 @@ def score(documents: DataFrame, index: Index, text: str = "text") -> DataFrame:
     spark: SparkSession = documents.sparkSession
     rest = [c for c in documents.columns if c not in ("score", "evidence")]
     inner = [f"c{i}" for i in range(len(rest))]
-    frame = documents.select(*[F.col(c).alias(n) for c, n in zip(rest, inner)], F.coalesce(F.col(text), F.lit("")).alias("text"))
+    frame = documents.select(*[exact(c).alias(n) for c, n in zip(rest, inner)], F.coalesce(exact(text), F.lit("")).alias("text"))
     shape = ", ".join(f"{n} {documents.schema[c].dataType.simpleString()}" for c, n in zip(rest, inner))
     out = frame.mapInArrow(_score(spark.sparkContext.broadcast(index), inner), f"{shape}, score double, evidence array<bigint>")
     return out.withColumnsRenamed(dict(zip(inner, rest)))
