@@ -195,6 +195,17 @@ def test_files_become_spectra_at_one_rate(spark, tmp_path):
     audio.write(audio.encode(clip(spark, tone).withColumn("name", F.lit("a/x.wav")), 8000), str(tmp_path))
     got = audio.spectrum_of(audio.scan(spark, str(tmp_path)), 4000, 64, 16).where("t = 10").first()
     assert int(np.argmax(got["mag"])) == 8  # 500 Hz of 62.5 Hz bins
+    assert got["sample_rate"] == 4000 and got["n_samples"] == 400
+    assert np.allclose(np.array(got["mag"]) * (np.array(got["cos"]) + 1j * np.array(got["sin"])), np.array(got["re"]) + 1j * np.array(got["im"]))
+
+
+def test_metrics_are_written(spark, tmp_path):
+    preds = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "label string, pred string")
+    labels = spark.createDataFrame([("a",), ("b",), ("c",)], "class string")
+    paths = audio.write_metrics(preds, labels, str(tmp_path), "segment_level")
+    text = ["\n".join(p.read_text() for p in sorted(tmp_path.joinpath(x).glob("part-*"))) for x in paths]
+    assert text[0].splitlines()[:3] == ["\ufefflabel,a,b,c", "a,1,1,0", "b,0,2,0"] and text[1].splitlines()[1] == "a,0.5,0.5,0.0"
+    assert "macro avg" in text[2] and f"{'weighted avg':<20}" in text[3] and '"accuracy":0.75' in text[4]
 
 
 def test_reports(spark, tmp_path):

@@ -63,16 +63,15 @@ def exact_split(frame: DataFrame, key: str, share: float, group: str | None = No
 
     The cut is the hash of that rank, found by counting, so no task orders all rows.
     """
-    unit = group or key
-    hashed = frame.select(unit).distinct().withColumn("_h", F.xxhash64(F.lit(seed), unit))
+    unit, bits = group or key, 52
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(unit).cast("string"))), 1, bits // 4), 16, 10).cast("bigint")
+    hashed = frame.select(unit).distinct().withColumn("_h", digest)
     n = hashed.count()
     n_val = int(share * n)
     if n_val == 0:
         return frame.withColumn("is_train", F.lit(True))
-    low, high = -(1 << 63), (1 << 63) - 1
-    parts = 1 << 12
-    cell = F.floor((F.col("_h").cast("double") - float(low)) / 2.0**64 * parts).cast("int")
-    counts = hashed.groupBy(cell.alias("cell")).count().orderBy("cell").collect()  # at most 4097 rows
+    cell = F.shiftright("_h", bits - 12).cast("int")
+    counts = hashed.groupBy(cell.alias("cell")).count().orderBy("cell").collect()  # at most 4096 rows
     before, at = 0, counts[-1]["cell"]
     for row in counts:
         if before + row["count"] >= n_val:
@@ -81,7 +80,7 @@ def exact_split(frame: DataFrame, key: str, share: float, group: str | None = No
         before += row["count"]
     edge = hashed.where(cell == at).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(at)).orderBy("_h", unit)))
     edge = edge.select(F.col(unit).alias("_unit"), (F.col("_r") > n_val - before).alias("_late"))
-    out = frame.withColumn("_h", F.xxhash64(F.lit(seed), unit)).join(edge, F.col(unit) == F.col("_unit"), "left")
+    out = frame.withColumn("_h", digest).join(edge, F.col(unit) == F.col("_unit"), "left")
     return out.withColumn("is_train", F.when(cell == at, F.col("_late")).otherwise(cell > at)).drop("_h", "_unit", "_late")
 
 

@@ -41,6 +41,15 @@ def head(frames: DataFrame, by: str = "clip_id") -> DataFrame:
     return frames.groupBy(by).agg((F.max("x") + F.avg("x")).alias("x"))
 
 
+def dense(frame: DataFrame, weights: DataFrame, bias: DataFrame | None = None, by: str = "clip_id") -> DataFrame:
+    """by, out, x: a linear layer over features (by, i, x) with weights (i, out, weight) and bias (out, bias).
+
+    Both are as large as the layer and are broadcast; a feature's part is added up before it is moved.
+    """
+    parts = frame.join(F.broadcast(weights), "i").groupBy(by, "out").agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
+    return parts if bias is None else parts.join(F.broadcast(bias), "out").select(by, "out", (F.col("x") + F.col("bias")).alias("x"))
+
+
 def decision_level(frames: DataFrame, how: str, ratio: int, length: int, weight: float, bias: float, by: str = "clip_id") -> tuple[DataFrame, DataFrame]:
     """Scores of a clip and of its frames: three neighbours pooled, a linear layer and sigmoid, then the largest or mean over time.
 

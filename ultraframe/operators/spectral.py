@@ -30,12 +30,12 @@ def _frames(x: np.ndarray, n_fft: int, hop: int, pad: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop]
 
 
-def _keys(clips: DataFrame) -> str:
-    return ", ".join(f"{c} {clips.schema[c].dataType.simpleString()}" for c in ("clip_id", "class"))
+def _keys(clips: DataFrame, keep: tuple[str, ...] = ()) -> str:
+    return ", ".join(f"{c} {clips.schema[c].dataType.simpleString()}" for c in ("clip_id", "class", *keep))
 
 
-def stft(clips: DataFrame, n_fft: int, hop: int, pad: str = "none") -> DataFrame:
-    """clip_id, class, t, re, im: a row for each frame; pad is none, constant or reflect."""
+def stft(clips: DataFrame, n_fft: int, hop: int, pad: str = "none", keep: tuple[str, ...] = ()) -> DataFrame:
+    """clip_id, class, t, re, im and what is kept of the clip's columns: a row for each frame; pad is none, constant or reflect."""
     window = hann(n_fft)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +49,9 @@ def stft(clips: DataFrame, n_fft: int, hop: int, pad: str = "none") -> DataFrame
                     edges = pa.array(np.arange(0, (n + 1) * bins, bins, dtype=np.int32))
                     parts = [pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(v).ravel())) for v in (found.real, found.imag)]
                     again = pa.array(np.full(n, i))
-                    yield pa.record_batch([batch.column("clip_id").take(again), batch.column("class").take(again), pa.array(np.arange(n, dtype=np.int32)), *parts], names=["clip_id", "class", "t", "re", "im"])
+                    yield pa.record_batch([*(batch.column(c).take(again) for c in ("clip_id", "class", *keep)), pa.array(np.arange(n, dtype=np.int32)), *parts], names=["clip_id", "class", *keep, "t", "re", "im"])
 
-    return clips.select("clip_id", "class", "samples").mapInArrow(run, f"{_keys(clips)}, t int, re array<double>, im array<double>")
+    return clips.select("clip_id", "class", *keep, "samples").mapInArrow(run, f"{_keys(clips, keep)}, t int, re array<double>, im array<double>")
 
 
 def magnitude(frames: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def unit_phase(re: Column, im: Column) -> tuple[Column, Column]:
 
 
 def resample(clips: DataFrame, rate: int, to: int) -> DataFrame:
-    """clips with samples at another rate, through the spectrum of each whole clip."""
+    """clips with samples at another rate, through the spectrum of each whole clip; long.resample filters clips of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

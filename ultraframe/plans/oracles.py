@@ -120,6 +120,7 @@ SQL = {
     "class_report": f"""with {SCORES} select class::varchar as name, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1, nt as support from pc
         union all select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(nt)::bigint from pc
         union all select 'weighted avg', round(sum(p * nt) / sum(nt), 6), round(sum(r * nt) / sum(nt), 6), round(sum(f * nt) / sum(nt), 6), sum(nt)::bigint from pc""",
+    "exact_split": "select vec_id as clip_id, label as class, row_number() over (order by ('0x' || md5('42|' || vec_id)[1:13])::bigint, vec_id) > floor(0.2::double * count(*) over ()) as is_train from embeddings",
     "mixup": """with b as (select vec_id, vec_id // 32 as b, vec_id % 32 as p, count(*) over (partition by vec_id // 32) as n, embedding as e from embeddings)
         select x.vec_id as clip_id, (i - 1)::int as n, round(x.e[i]::double * 0.7 + y.e[i]::double * 0.3, 6) + 0.0 as x from b x join b y on x.b = y.b and y.p = x.n - 1 - x.p, range(1, 65) as q(i)""",
     "separation_measures": f"""with {CLIPS}, t as (select a.clip_id, a.n, a.x as r, b.x as o, a.x + 0.1 * b.x as e from s a join s b on b.clip_id = a.clip_id + 1 and a.n = b.n),

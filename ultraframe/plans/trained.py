@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import argmax
+from ..functions.scalar import argmax, relu
 from ..operators import batches, evaluate, pooling
 from ..sources import tables as T
 from ..sources.storage import shared_folder
@@ -54,7 +54,16 @@ def conv_block(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("clip_id", "t", "k", "c", r("x", 5))
 
 
-QUERIES = {f.__name__: f for f in (train_epochs, voted_inference, conv_block)}
+def pooled_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest and mean over time of each bin, added, through a linear layer and without what is negative."""
+    pooled = _cells(spark, sf).groupBy("clip_id", F.col("k").alias("i")).agg((F.max("mag") + F.avg("mag")).alias("x"))
+    grid = spark.range(9 * 4).select((F.col("id") % 9).cast("int").alias("i"), F.expr("id div 9").cast("int").alias("out"))
+    weights = grid.withColumn("weight", ((F.col("i") * 7 + F.col("out") * 5) % 11 - 5) / 10.0)
+    bias = spark.range(4).select(F.col("id").cast("int").alias("out"), (F.col("id") / 4.0).alias("bias"))
+    return pooling.dense(pooled, weights, bias).select("clip_id", "out", r(relu(F.col("x")), name="x"))
+
+
+QUERIES = {f.__name__: f for f in (train_epochs, voted_inference, conv_block, pooled_dense)}
 
 
 def _training() -> str:
@@ -108,5 +117,6 @@ SQL = {
         pr as (select (any_value(y) * 100 + clip_id % 7)::bigint as file_id, clip_id as start, any_value(y) as label, first(c order by p desc, c)::int as pred from sm group by clip_id),
         v as (select file_id, pred, count(*) as n, min(start) as f from pr group by all), b as (select file_id, first(pred order by n desc, f) as pred from v group by 1)
         select file_id, arg_max(label, start) as label, any_value(b.pred) as pred from pr join b using (file_id) group by 1""",
+    "pooled_dense": f"with {O.CELLS}, p as (select clip_id, k, max(mag) + avg(mag) as x from cells group by all) select clip_id, o::int as out, round(greatest(sum(x * (((k * 7 + o * 5) % 11 - 5) / 10.0::double)) + o / 4.0::double, 0), 6) + 0.0 as x from p, range(4) as q(o) group by clip_id, o",
     "conv_block": f"with {O.CELLS}, {_convolution()} select clip_id, (t // 2)::int as t, (k // 2)::int as k, c::int as c, round(avg(x), 5) + 0.0 as x from c2 where t < 12 and k < 8 group by all",
 }

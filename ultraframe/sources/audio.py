@@ -7,8 +7,6 @@ here; what can't be read has a null header and is left out by `readable`.
 from __future__ import annotations
 
 import io
-import os
-import uuid
 import wave
 from collections.abc import Iterator
 from functools import reduce
@@ -18,7 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spectral import magnitude, resample, stft
+from ..operators.evaluate import class_report, confusion, macro_scores
+from ..operators.evaluate import accuracy as share_right
+from ..operators.spectral import magnitude, resample, stft, unit_phase
+from . import recordings as R
 
 # File name endings of recordings.
 ENDINGS = (".wav", ".mp3", ".flac", ".ogg", ".aiff", ".aif")
@@ -134,12 +135,15 @@ def decode(files: DataFrame, start_s: float | None = None, end_s: float | None =
 
 
 def spectrum_of(files: DataFrame, rate: int, n_fft: int, hop: int) -> DataFrame:
-    """Files decoded, brought to one rate and transformed: clip_id is the path."""
+    """Files decoded, brought to one rate and transformed: clip_id (the path), class, sample_rate, n_samples, t, re, im, mag and the unit phase (cos, sin)."""
     clips = decode(files).select(F.col("path").alias("clip_id"), F.col("class"), "sample_rate", "samples")
     rates = [x.sample_rate for x in clips.select("sample_rate").distinct().collect()]  # a handful of rates
     same = [resample(clips.where(F.col("sample_rate") == x), x, rate) for x in rates]
     whole = reduce(DataFrame.union, same) if same else clips.drop("sample_rate")
-    return magnitude(stft(whole, n_fft, hop, "reflect"))
+    sized = whole.withColumns({"sample_rate": F.lit(rate), "n_samples": F.size("samples")})
+    frames = magnitude(stft(sized, n_fft, hop, "reflect", ("sample_rate", "n_samples")))
+    phase = lambda part: F.transform(F.arrays_zip("re", "im"), lambda c: unit_phase(c["re"], c["im"])[part])
+    return frames.withColumns({"cos": phase(0), "sin": phase(1)})
 
 
 def encode(clips: DataFrame, rate: int) -> DataFrame:
@@ -161,25 +165,9 @@ def encode(clips: DataFrame, rate: int) -> DataFrame:
     return clips.withColumn("content", pack("samples"))
 
 
-def write(encoded: DataFrame, folder: str, name: str = "name") -> int:
-    """Writes content as folder/name, each executor its own files; folder is on a file system that all can reach by path.
-
-    Returns how many were written.  A file appears under its name only when it is whole.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for own, content in zip(batch["name"], batch["content"]):
-                target = os.path.join(folder, own)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}"
-                with open(part, "wb") as out:
-                    out.write(content)
-                os.replace(part, target)
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    files = encoded.select(F.col(name).cast("string").alias("name"), "content")
-    return files.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write(encoded: DataFrame, folder: str, name: str = "name") -> None:
+    """Writes content as folder/name, all files or none: tasks stage them, and a commit moves them into place."""
+    R.write(encoded.select(F.col(name).cast("string").alias("name"), "content"), folder)
 
 
 def write_report(frame: DataFrame, path: str, kind: str = "csv", other: str | None = None) -> str:
@@ -192,8 +180,10 @@ def write_report(frame: DataFrame, path: str, kind: str = "csv", other: str | No
         lines = frame.select(F.to_json(F.struct("*")).alias("value"))
     elif kind == "csv":
         names = [F.lit("\ufeff" * (i == 0) + c).alias(f"c{i}") for i, c in enumerate(frame.columns)]
-        head = frame.sparkSession.range(1).select(F.to_csv(F.struct(*names)).alias("value"))
-        lines = head.union(frame.select(F.to_csv(F.struct("*")).alias("value")))
+        head = frame.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("_place"), F.to_csv(F.struct(*names)).alias("value"))
+        # One small file: the header first, then the rows in their order.
+        rows = frame.select(F.monotonically_increasing_id().alias("_place"), F.to_csv(F.struct("*")).alias("value"))
+        lines = head.union(rows).repartition(1).sortWithinPartitions("_place").select("value")
     else:
         lines = frame.select(F.format_string("".join("%-20s" for _ in frame.columns), *map(text, frame.columns)).alias("value"))
     for place in (path, other):
@@ -204,3 +194,19 @@ def write_report(frame: DataFrame, path: str, kind: str = "csv", other: str | No
             if other is None or place == other:
                 raise
     raise AssertionError
+
+
+def write_metrics(preds: DataFrame, labels: DataFrame, folder: str, prefix: str) -> list[str]:
+    """Files of an evaluation of preds (label, pred) over the known classes (column class); returns where they went.
+
+    The confusion matrix, and its rows as shares, as CSV with a row for each
+    label and a column for each prediction; the report by class as CSV and as
+    text; accuracy and macro means as JSON.
+    """
+    cells = confusion(preds, labels)
+    order = [r[0] for r in labels.select("class").distinct().orderBy("class").collect()]  # the classes
+    wide = lambda value: cells.groupBy("label").pivot("pred", order).agg(F.first(value)).orderBy("label")
+    rows = class_report(preds, labels)
+    whole = share_right(preds).crossJoin(macro_scores(preds))  # one row each
+    files = [(wide("n"), "confusion_matrix.csv", "csv"), (wide("share"), "confusion_matrix_normalized.csv", "csv"), (rows, "report.csv", "csv"), (rows, "report.txt", "text"), (whole, "metrics.json", "json")]
+    return [write_report(frame, f"{folder.rstrip('/')}/{prefix}_{name}", kind) for frame, name, kind in files]
