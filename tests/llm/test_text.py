@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from ultraframe.llm import decontaminate, jaccard, lengths, lines, mixing, pii, substrings, toxicity  # noqa: E402
+from ultraframe.llm import decontaminate, jaccard, lengths, lines, mixing, pages, pii, substrings, toxicity  # noqa: E402
 from ultraframe.llm.lines import dedup_lines  # noqa: E402
 
 SHAPE = "doc_id bigint, text string"
@@ -335,3 +335,31 @@ def test_token_lengths(spark, docs):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r.n_tokens for r in lengths.token_lengths(docs.withColumn("n_tokens", F.lit("x"))).collect()}
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in corpus()}
+
+
+LINE = "The quiet river crossed the valley, and the old mill by the bridge turned its wheel through the long summer days."
+
+
+def test_form_around_the_page_is_no_form_of_it():
+    body = f"<div class='menu'><a href=1>Home</a></div><div><p>{LINE}</p><p>{LINE}</p></div><div>Your name <input></div>"
+    assert pages.main_text(f"<body><form id='aspnetForm'>{body}</form></body>")[0] == f"{LINE} {LINE}"
+    own = f"<body><div><p>{LINE}</p><p>{LINE}</p></div><form><p>Tell us what you think of it, and leave your address below.</p></form></body>"
+    assert pages.main_text(own)[0] == f"{LINE} {LINE}"
+
+
+@pytest.mark.parametrize("extra", ["<div class='discussion'><p>" + LINE + "</p></div>", "<p>We use cookies on this site. Accept all or change your settings here.</p>", "<div>Copyright 2024 by us. All rights reserved.</div>"])
+def test_discussions_and_unnamed_notices_go(extra):
+    assert pages.main_text(f"<body><article><p>{LINE}</p><p>{LINE}</p></article>{extra}</body>")[0] == f"{LINE} {LINE}"
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        found = pages.main_text("<div>" * n + f"<p>{LINE}</p>" + "</div><p>x</p>" * n + f"<p>{LINE}</p>")
+        assert found[0].count(LINE) == 2
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.05)

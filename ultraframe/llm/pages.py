@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,56 +47,53 @@ MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form tablist toolbar".split())
 # Words in class and id.
-BAD = re.compile(r"(?:^|[^a-z])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|comments?|disqus|replies|reply|respond|sidebar|side-bar|menus?|nav\w*|breadcrumbs?|footer|foot|header|masthead|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|sign-up|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|skip|search\w*|form)(?![a-z])")
+BAD = re.compile(r"(?:^|[^a-z])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|comments?|disqus|replies|reply|respond|sidebar|side-bar|menus?|nav\w*|breadcrumbs?|footer|foot|header|masthead|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|sign-up|login|popup|modal|overlay|widget|pagination|pager|copyright|legal|disclaimer|skip|search\w*|form|discussions?|reactions?|feedback)(?![a-z])")
 GOOD = re.compile(r"(?:^|[^a-z])(content|article\w*|post|entry|story|main|body|text)(?![a-z])")
+# Words of lines that say who holds rights, and of notices that ask for consent.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+CONSENT = re.compile(r"\bcookies?\b.*\b(?:accept|agree|consent|settings|preferences|policy)\b|\b(?:accept|agree|consent|we use|uses)\b.*\bcookies?\b", re.I | re.S)
 #: What is seen of a block, with the prior weight of each; MARKED is what article and main add, and never fitted.
-PRIOR = {"bias": -0.4, "p": 0.9, "heading": 0.5, "item": -0.4, "aside": -12.0, "bad name": -9.0, "good name": 2.0, "some links": -1.0, "most links": -4.0, "1-3 words": -0.8, "4-8 words": -0.2, "20-49 words": 1.0, "50 words": 2.5, "sentence": 0.5}
+PRIOR = {"bias": -0.4, "p": 0.9, "heading": 0.5, "item": -0.4, "aside": -12.0, "bad name": -9.0, "good name": 2.0, "some links": -1.0, "most links": -4.0, "1-3 words": -0.8, "4-8 words": -0.2, "20-49 words": 1.0, "50 words": 2.5, "sentence": 0.5, "rights": -6.0, "consent": -6.0}
 MARKED = 4.0
 #: Strength of the smoothness edges between siblings; each step more in the tree halves it.
-SMOOTH = 1.5
+SMOOTH, FAR = 1.5, 64
 #: Pages that the classifier is fitted on, about; how far the weights may go from the prior, and what all counts weigh together.
 SAMPLE, SPREAD, WEIGHT = 2000, 0.5, 200.0
 
 
 @dataclass
 class Element:
-    """What an element is: aside, bad, good, main or nothing."""
+    """What an element is: aside, bad, good, main or nothing; block is the nearest one around it, itself included, that is not inline, depth how many of those there are."""
 
     name: str
-    number: int
     above: Element | None
     kind: str
     hidden: bool
     link: bool
     control: bool
+    in_main: bool
+    in_bad: bool
+    depth: int
+    block: Element | None = None
+    kinds: frozenset[str] = frozenset()
+    words: int = 0
 
 
 @dataclass
 class Block:
     text: str
     element: Element | None
-    path: tuple[int, ...]
     words: int
     linked: int
-    layout: bool = False
-
-    def kinds(self) -> set[str]:
-        """Kinds of the elements around it; where all main parts stand in elements of bad names, these are names of the layout."""
-        found, e, inside = set(), self.element, False
-        while e:
-            if e.kind == "main":
-                inside = True
-            if e.kind and not (e.kind == "bad" and inside and self.layout):
-                found.add(e.kind)
-            e = e.above
-        return found
+
+    def kinds(self) -> frozenset[str]:
+        """Kinds of the elements around it."""
+        return self.element.kinds if self.element else frozenset()
 
     def seen(self) -> tuple[str, ...]:
         """What the classifier knows of it, without the marks of the main part."""
-        kinds, out, e = self.kinds(), ["bias"], self.element
-        while e and e.name in INLINE:
-            e = e.above
-        name = e.name if e else ""
+        kinds, out = self.kinds(), ["bias"]
+        name = self.element.block.name if self.element and self.element.block else ""
         out += ["p"] if name == "p" else ["heading"] if name in HEADINGS else ["item"] if name in ("li", "td", "th", "dt", "dd") else []
         if "aside" in kinds:
             out.append("aside")
@@ -110,6 +107,8 @@ class Block:
         out += ["1-3 words"] if n < 4 else ["4-8 words"] if n < 9 else [] if n < 20 else ["20-49 words"] if n < 50 else ["50 words"]
         if self.text[-1] in ".!?…。\"”»":
             out.append("sentence")
+        if n < 50 and "main" not in kinds:  # an article may speak of both
+            out += ["rights"] if RIGHTS.match(self.text) else ["consent"] if CONSENT.search(self.text) else []
         return tuple(out)
 
 
@@ -119,7 +118,8 @@ class Page:
     stack: list[Element] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
     mains: set[bool] = field(default_factory=set)
-    number: int = 0
+    elements: list[Element] = field(default_factory=list)
+    open: Counter[str] = field(default_factory=Counter)
 
 
 def _element(page: Page, name: str, attributes: str) -> Element:
@@ -129,10 +129,8 @@ def _element(page: Page, name: str, attributes: str) -> Element:
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     role = found.get("role", "")
     names = f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".strip() if name not in ("html", "body") else ""
-    kind, around = "", above
-    while around and around.kind != "main":
-        around = around.above
-    if name in ASIDE or role in ROLES or name == "header" and not around:
+    kind = ""
+    if name in ASIDE or role in ROLES or name == "header" and not (above and above.in_main):
         kind = "aside"
     elif names and BAD.search(names) and not (name in MAIN and GOOD.search(names)):
         kind = "bad"
@@ -142,9 +140,12 @@ def _element(page: Page, name: str, attributes: str) -> Element:
         kind = "good"
     hidden = name in ("head", "title") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     if kind == "main":
-        page.mains.add(any(e.kind == "bad" for e in page.stack))
-    page.number += 1
-    return Element(name, page.number, above, kind, hidden or bool(above and above.hidden), name == "a" or bool(above and above.link), name in CONTROLS or bool(above and above.control))
+        page.mains.add(bool(above and above.in_bad))
+    inline = name in INLINE
+    e = Element(name, above, kind, hidden or bool(above and above.hidden), name == "a" or bool(above and above.link), name in CONTROLS or bool(above and above.control), kind == "main" or bool(above and above.in_main), kind == "bad" or bool(above and above.in_bad), (above.depth if above else 0) + (not inline))
+    e.block = above.block if inline and above else None if inline else e
+    page.elements.append(e)
+    return e
 
 
 def _flush(page: Page) -> None:
@@ -153,18 +154,21 @@ def _flush(page: Page) -> None:
         top = page.stack[-1] if page.stack else None
         if not (top and top.hidden):
             linked = len(html.unescape("".join(t if link else " " for t, link in page.parts)).split())
-            page.blocks.append(Block(text, top, tuple(e.number for e in page.stack if e.name not in INLINE), len(text.split()), linked))
+            page.blocks.append(Block(text, top, len(text.split()), linked))
     page.parts.clear()
 
 
 def _pop(page: Page, size: int) -> None:
     if any(e.name not in INLINE for e in page.stack[size:]):
         _flush(page)
+    page.open.subtract(e.name for e in page.stack[size:])
     del page.stack[size:]
 
 
 def _close(page: Page, names, border=frozenset()) -> None:
     """Ends the innermost open element of the names, unless one of border is nearer."""
+    if not any(page.open[n] for n in names):
+        return
     for i in range(len(page.stack) - 1, -1, -1):
         if page.stack[i].name in names:
             _pop(page, i)
@@ -189,7 +193,7 @@ def blocks_of(source: str) -> list[Block]:
         if not name:
             continue
         if m[1] or m[4]:
-            if name == "p" and not any(e.name == "p" for e in page.stack):
+            if name == "p" and not page.open["p"]:
                 _flush(page)
             elif name not in VOID:
                 _close(page, {name}, frozenset() if name not in INLINE else CLOSES_P)
@@ -210,12 +214,34 @@ def blocks_of(source: str) -> list[Block]:
             page.parts.append((" ", False))
         if name not in VOID:
             page.stack.append(_element(page, name, m[3] or m[6] or ""))
+            page.open[name] += 1
     _flush(page)
-    for b in page.blocks:
-        b.layout = page.mains == {True}
+    _settle(page)
     return page.blocks
 
 
+def _settle(page: Page) -> None:
+    """Gives each element the kinds around it, from the outermost on.
+
+    A form that holds most of a page's words is how the page is built, and so
+    are bad names around all main parts.
+    """
+    for b in page.blocks:
+        if b.element:
+            b.element.words += b.words
+    for e in reversed(page.elements):
+        if e.above:
+            e.above.words += e.words
+    layout, whole = page.mains == {True}, sum(b.words for b in page.blocks)
+    for e in page.elements:
+        if e.name == "form" and e.kind == "aside" and 2 * e.words > whole:
+            e.kind = ""
+        around = e.above.kinds if e.above else frozenset()
+        if e.kind == "main" and layout:
+            around = around - {"bad"}
+        e.kinds = around | {e.kind} if e.kind else around
+
+
 def leanings(blocks: list[Block], weights: dict[str, float]) -> list[float]:
     """For each block what calling it boilerplate costs over what calling it content costs."""
     out = []
@@ -230,20 +256,33 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(blocks):
         near = {i - 1} if i else set()
-        parent = b.path[:-1]
+        own = b.element.block if b.element else None
+        parent = id(_parent(own)) if own else 0
         if parent in last:
             near.add(last[parent])
         last[parent] = i
         for j in near:
-            common = 0
-            for x, y in zip(b.path, blocks[j].path):
-                if x != y:
-                    break
-                common += 1
-            out.append((j, i, SMOOTH * 0.5 ** (len(b.path) + len(blocks[j].path) - 2 * common - 2)))
+            out.append((j, i, SMOOTH * 0.5 ** (_steps(own, blocks[j].element.block if blocks[j].element else None) - 2)))
     return out
 
 
+def _parent(e: Element) -> Element | None:
+    """The block element right around one."""
+    return e.above.block if e.above else None
+
+
+def _steps(a: Element | None, b: Element | None) -> int:
+    """Steps from one block element to another along the tree; where that is far, so many that an edge is next to nothing."""
+    n = 0
+    while a is not b and n < FAR:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = _parent(a)
+        else:
+            b = _parent(b)
+        n += 1
+    return n
+
+
 def minimum_cut(leanings: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay with the source, by maximum flow in phases: in each, all shortest paths are filled.
 
