@@ -96,3 +96,19 @@ def test_pairs_of_large_groups(block):
 
 def test_no_rows(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("known", [0, 1 << 19])
+def test_remembered_words_change_nothing(monkeypatch, known):
+    monkeypatch.setattr(alignment, "KNOWN", known)
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
+    texts = ODD[:9] + ["plain words and plain words", "mixed　width space", "tab\tand  two", "end ", "ünï cödé ünï", "a" * 100 + " b", "words ▁ and words"] * 2
+    both = alignment.Both(alignment._side(alignment.BYTE_BPE), alignment._side(alignment.PIECES))
+    assert both.by_words
+    for part in (texts, texts[::-1]):
+        found = both.encode(part)
+        at_a, at_b = np.append(0, np.cumsum(found.n_a)), np.append(0, np.cumsum(found.n_b))
+        for i, t in enumerate(part):
+            assert found.a[at_a[i] : at_a[i + 1]].tolist() == both.a.encode([t])[0]
+            assert found.b[at_b[i] : at_b[i + 1]].tolist() == both.b.encode([t])[0]
+            assert found.same[i] == (encoded(t)[0] != [])

@@ -26,6 +26,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -45,8 +46,8 @@ BLOCK = 1 << 21
 TEXTS, KNOWN, LONG = 1 << 20, 1 << 19, 48
 # Characters that are surely no white space: printable ASCII, and letters of common scripts.
 SOLID = "!-~À-ɏͰ-ԯぁ-ヿ一-鿿가-힣"
-#: A space that begins a word after another word.
-BETWEEN = re.compile(f"(?<=[{SOLID}]) (?=[{SOLID}])")
+#: A space that begins a word after another word, and what has such characters at both ends; words encoded together.
+BETWEEN, WORD, TOGETHER = re.compile(f"(?<=[{SOLID}]) (?=[{SOLID}])"), re.compile(f"[{SOLID}](?:.*[{SOLID}])?\\Z", re.S), 2048
 
 
 class Side:
@@ -102,40 +103,94 @@ def _side(path: str) -> Side:
     return Pieces(path) if path.endswith(".model") else ByteLevel(path)
 
 
+@dataclass
+class Encoded:
+    """Texts one after another: ids of either side, how many each text has, and whether both give back its bytes after a space."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    same: np.ndarray
+
+    def good(self) -> Encoded:
+        """Without the tokens of texts that don't come back."""
+        if self.same.all():
+            return self
+        n_a, n_b = self.n_a * self.same, self.n_b * self.same
+        return Encoded(self.a[np.repeat(self.same, self.n_a)], self.b[np.repeat(self.same, self.n_b)], n_a, n_b, self.same)
+
+
 class Both:
-    """Two tokenizers over the same texts.  Where both go word by word, a word is encoded once and remembered."""
+    """Two tokenizers over the same texts.  Where both go word by word, a word is encoded once and remembered.
+
+    What is known of a word is 32-bit numbers: twice its tokens of a, plus 1 if it comes back; then its ids of a and of b.
+    """
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b, self.known = a, b, {}
-
-    def _ids(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
-        """Ids of either side as 32-bit numbers, and whether both give back the text's bytes after a space."""
-        for t, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts)):
-            whole = b" " + t.encode()
-            yield array("I", x).tobytes(), array("I", y).tobytes(), self.a.bytes_of(x) == whole and self.b.bytes_of(y) == whole
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        if self.a.by_words and self.b.by_words:
+        self.by_words = a.by_words and b.by_words
+
+    def _packed(self, text: bytes, x: list[int], y: list[int]) -> bytes:
+        same = self.a.bytes_of(x) == b" " + text == self.b.bytes_of(y)
+        return array("I", [2 * len(x) + same, *x, *y]).tobytes()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(t.encode(), x, y) for t, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts))]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that begin and end like words are encoded as a text of them all."""
+        whole = list(filter(WORD.match, words))
+        rest = list(set(words).difference(whole)) if len(whole) < len(words) else []
+        for i in range(0, len(whole), TOGETHER):
+            part = whole[i : i + TOGETHER]
+            text = " ".join(part)
+            raw = b" " + text.encode()
+            x, y = self.a.encode([text])[0], self.b.encode([text])[0]
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            ids_a, ids_b = np.array(x, dtype=np.uint32), np.array(y, dtype=np.uint32)
+            ends_a, ends_b = np.cumsum(self.a.lengths[x]), np.cumsum(self.b.lengths[y])
+            cut_a, cut_b = np.append(0, np.searchsorted(ends_a, ends) + 1), np.append(0, np.searchsorted(ends_b, ends) + 1)
+            if self.a.bytes_of(x) != raw or self.b.bytes_of(y) != raw or (ends_a[cut_a[1:] - 1] != ends).any() or (ends_b[cut_b[1:] - 1] != ends).any():
+                rest += part
+                continue
+            n_a, n_b = np.diff(cut_a), np.diff(cut_b)
+            size = 1 + n_a + n_b
+            start = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), np.uint32)
+            flat[start] = 2 * n_a + 1
+            flat[np.repeat(start + 1 - cut_a[:-1], n_a) + np.arange(len(ids_a))] = ids_a
+            flat[np.repeat(start + 1 + n_a - cut_b[:-1], n_b) + np.arange(len(ids_b))] = ids_b
+            held, edges = flat.tobytes(), np.append(start, len(flat)) * 4
+            self.known.update((w, held[f:t]) for w, f, t in zip(part, edges[:-1].tolist(), edges[1:].tolist()))
+        self.known.update(zip(rest, self._each(rest)))
+
+    def encode(self, texts: list[str]) -> Encoded:
+        if self.by_words:
             words = [BETWEEN.split(t) for t in texts]
             if len(self.known) > KNOWN:
                 self.known.clear()
             new = list({w for own in words for w in own}.difference(self.known))
-            self.known.update(zip(new, self._ids(new)))
-            found = []
-            for t, own in zip(texts, words):
-                x, y, good = zip(*map(self.known.__getitem__, own))
-                # Of a text with a word that doesn't come back, the whole decides.
-                found.append((b"".join(x), b"".join(y), all(good) or self._same(t, b"".join(x), b"".join(y))))
+            self._learn(new)
+            values, first = [self.known[w] for own in words for w in own], np.cumsum([0, *map(len, words)])[:-1]
             for w in new:
                 if len(w) > LONG:
                     del self.known[w]
         else:
-            found = list(self._ids(texts))
-        return [(np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64), good) for x, y, good in found]
-
-    def _same(self, text: str, x: bytes, y: bytes) -> bool:
-        whole = b" " + text.encode()
-        return all(side.bytes_of(np.frombuffer(ids, np.uint32).tolist()) == whole for side, ids in ((self.a, x), (self.b, y)))
+            values, first = self._each(texts), np.arange(len(texts))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat = np.frombuffer(b"".join(values), np.uint32)
+        start = np.cumsum(size) - size
+        head = flat[start].astype(np.int64)
+        place, n_a = np.arange(len(flat)) - np.repeat(start, size), head // 2
+        of_a = np.repeat(n_a, size)
+        a, b = flat[(place > 0) & (place <= of_a)].astype(np.int64), flat[place > of_a].astype(np.int64)
+        found = Encoded(a, b, np.add.reduceat(n_a, first), np.add.reduceat(size - 1 - n_a, first), np.logical_and.reduceat(head % 2 == 1, first))
+        end_a, end_b = np.cumsum(found.n_a), np.cumsum(found.n_b)
+        for i in np.flatnonzero(~found.same):  # a word doesn't come back: the whole text decides
+            whole = b" " + texts[i].encode()
+            found.same[i] = all(side.bytes_of(ids[end[i] - n[i] : end[i]].tolist()) == whole for side, ids, end, n in ((self.a, a, end_a, found.n_a), (self.b, b, end_b, found.n_b)))
+        return found
 
 
 @cache
@@ -220,28 +275,28 @@ def aligned(documents: DataFrame, text: str = "text", id: str = "doc_id", byte_b
         for batch in slices(batches, "text", TEXTS):
             texts = batch.column("text").to_pylist()
             some = [i for i, t in enumerate(texts) if t]
-            good, ids_a, ids_b = [], [], []
-            for i, (x, y, same) in zip(some, both.encode([texts[i] for i in some])):
-                if same:
-                    good.append(i)
-                    ids_a.append(x)
-                    ids_b.append(y)
-            rows: list[tuple] = [(i, 0, 0, 0, 0, "", None, None) for i in sorted(set(range(len(texts))).difference(good))]
-            if good:
-                # Texts one after another: their ends are shared by both sides, so no group crosses one.
-                a, b = np.concatenate(ids_a), np.concatenate(ids_b)
-                group_a, group_b = groups(np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b]))
-                spelled = table[_spelling(a, b, group_a, group_b, n_a, n_b)]
-                links = np.append(0, np.cumsum(np.bincount(group_a) * np.bincount(group_b)))
-                end_a, end_b, held = np.cumsum([len(x) for x in ids_a]), np.cumsum([len(x) for x in ids_b]), 0
-                for i, x, y, to_a, to_b in zip(good, ids_a, ids_b, end_a.tolist(), end_b.tolist()):
-                    at_a, at_b = to_a - len(x), to_b - len(y)
+            rows: list[tuple] = [(i, 0, 0, 0, 0, "", None, None) for i, t in enumerate(texts) if not t]
+            if some:
+                found = both.encode([texts[i] for i in some])
+                rows += [(i, 0, 0, 0, 0, "", None, None) for i, same in zip(some, found.same) if not same]
+                found, held = found.good(), 0
+                a, b = found.a, found.b
+                if len(a):
+                    # Texts one after another: their ends are shared by both sides, so no group crosses one.
+                    group_a, group_b = groups(np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b]))
+                    spelled = table[_spelling(a, b, group_a, group_b, n_a, n_b)]
+                    links = np.append(0, np.cumsum(np.bincount(group_a) * np.bincount(group_b)))
+                ends = zip(np.cumsum(found.n_a).tolist(), np.cumsum(found.n_b).tolist(), found.n_a.tolist(), found.n_b.tolist())
+                for i, (to_a, to_b, x, y) in zip(some, ends):
+                    if not x:
+                        continue
+                    at_a, at_b = to_a - x, to_b - y
                     first, last = int(group_a[at_a]), int(group_a[to_a - 1]) + 1
                     digest = hashlib.sha256("".join(spelled[at_a + at_b : to_a + to_b].tolist())[:-1].encode()).hexdigest()
-                    head = (len(x), len(y), last - first, int(links[last] - links[first]), digest)
-                    for found, times in pairs(a[at_a:to_a], b[at_b:to_b], group_a[at_a:to_a] - first, group_b[at_b:to_b] - first, block):
-                        rows.append((i, *head, found, times))
-                        head, held = (None,) * 5, held + len(found)
+                    head = (x, y, last - first, int(links[last] - links[first]), digest)
+                    for keys, times in pairs(a[at_a:to_a], b[at_b:to_b], group_a[at_a:to_a] - first, group_b[at_b:to_b] - first, block):
+                        rows.append((i, *head, keys, times))
+                        head, held = (None,) * 5, held + len(keys)
                         if held >= block:
                             yield _batch(batch, rows)
                             rows, held = [], 0
