@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import factors, spectral
+from ..operators import cluster, factors, spectral
 from ..sources import tables as T
 from . import model as M
 from . import oracles as O
@@ -46,7 +46,15 @@ def separation_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("clip_id", "k", "n", r("x", 5))
 
 
-QUERIES = {f.__name__: f for f in (fitted_factors, fitted_by_descent, separation_end_to_end)}
+def component_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted components of each clip, clustered by all their features."""
+    frames = spectral.magnitude(spectral.stft(T.clips(spark, sf), T.N_FFT, T.HOP))
+    w, h, _ = factors.factorize(frames, K, spectra, gains, steps=STEPS, tolerance=0.0, length=LENGTH)
+    by_bin, by_frame = w.select("clip_id", "k", F.col("f").alias("i"), F.col("w").alias("x")), h.select("clip_id", "k", F.col("t").alias("i"), F.col("h").alias("x"))
+    return cluster.labelled(by_bin, by_frame, SOURCES, "agglomerative", T.RATE, T.N_FFT, MELS, KEEP).select("clip_id", "k", "cluster")
+
+
+QUERIES = {f.__name__: f for f in (fitted_factors, fitted_by_descent, component_clusters, separation_end_to_end)}
 
 
 def _swept(name: str, value: str, source: str, place: str, other: str, across: str, of: str) -> str:
@@ -95,5 +103,6 @@ FEATURES = f"""{O.MEL.split("lm as")[0].rstrip().rstrip(",")},
 SQL = {
     "fitted_factors": f"with {O.FACTORS}, {O.kl_steps(STEPS)} {BOTH.format(w=f'w{STEPS}', h=f'h{STEPS}')}",
     "fitted_by_descent": f"with {O.FACTORS}, {_swept('wx', 'w', 'w', 'f', 'h', 't', 'h')}, {_long('w1', 'wx', 'f', 'w')}, {_swept('hx', 'h', 'h', 't', 'w1', 'f', 'w')}, {_long('h1', 'hx', 't', 'h')} {BOTH.format(w='w1', h='h1')}",
+    "component_clusters": f"with {O.FACTORS}, {O.kl_steps(STEPS)}, {M.COMPLEX}, {FEATURES} select clip_id, k::int as k, s::int as cluster from la".replace("join cx using (clip_id, t, f)), select", "join cx using (clip_id, t, f)) select"),
     "separation_end_to_end": f"with {O.FACTORS}, {O.kl_steps(STEPS)}, {M.COMPLEX}, {FEATURES} {M._back('ma', 'clip_id, k')}".replace("round(y / w, 6)", "round(y / w, 5)"),
 }
