@@ -18,54 +18,59 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 OUT = "run bigint, at bigint, accuracy double, saved boolean"
 
 
-class BestSoFar(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", "best double")
-        self.waiting = handle.getListState("waiting", "at bigint, accuracy double")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, passed = pd.concat(list(rows)), timerValues.getCurrentWatermarkInMs() * 1000
-        new = new[new["at"] > passed] if passed > 0 else new  # what was before them has gone out
-        if new.empty:
-            return
-        self.waiting.appendList([(int(t), float(a)) for t, a in zip(new["at"], new["accuracy"])])
-        self._wake(int(new["at"].min()))
-        yield from ()
-
-    def _wake(self, at: int) -> None:
-        """One timer for each run: at the earliest time that waits."""
-        milliseconds = at // 1000
-        if self.timer.exists():
-            now = self.timer.get()[0]
-            if now <= milliseconds:
+def _processor() -> StatefulProcessor:
+    """The state of a run and what is done with it; a class of this call, so that it travels as a value: the process that prepares the state sees no shipped package."""
+
+    class BestSoFar(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.best = handle.getValueState("best", "best double")
+            self.waiting = handle.getListState("waiting", "at bigint, accuracy double")
+            self.timer = handle.getValueState("timer", "at bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            new, passed = pd.concat(list(rows)), timerValues.getCurrentWatermarkInMs() * 1000
+            new = new[new["at"] > passed] if passed > 0 else new  # what was before them has gone out
+            if new.empty:
                 return
-            self.handle.deleteTimer(now)
-        self.handle.registerTimer(milliseconds)
-        self.timer.update((milliseconds,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        best = self.best.get()[0] if self.best.exists() else 0.0
-        saved = []
-        for _, accuracy in due:
-            saved.append(accuracy > best)
-            best = max(best, accuracy)
-        self.best.update((best,))
-        self.timer.clear()
-        if later:
-            self.waiting.put(later)
-            self._wake(later[0][0])
-        else:
-            self.waiting.clear()
-        if due:
-            yield pd.DataFrame({"run": key[0], "at": [t for t, _ in due], "accuracy": [a for _, a in due], "saved": saved})
-
-    def close(self) -> None:
-        pass
+            self.waiting.appendList([(int(t), float(a)) for t, a in zip(new["at"], new["accuracy"])])
+            self._wake(int(new["at"].min()))
+            yield from ()
+
+        def _wake(self, at: int) -> None:
+            """One timer for each run: at the earliest time that waits."""
+            milliseconds = at // 1000
+            if self.timer.exists():
+                now = self.timer.get()[0]
+                if now <= milliseconds:
+                    return
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(milliseconds)
+            self.timer.update((milliseconds,))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            rows = sorted(tuple(r) for r in self.waiting.get())
+            due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+            best = self.best.get()[0] if self.best.exists() else 0.0
+            saved = []
+            for _, accuracy in due:
+                saved.append(accuracy > best)
+                best = max(best, accuracy)
+            self.best.update((best,))
+            self.timer.clear()
+            if later:
+                self.waiting.put(later)
+                self._wake(later[0][0])
+            else:
+                self.waiting.clear()
+            if due:
+                yield pd.DataFrame({"run": key[0], "at": [t for t, _ in due], "accuracy": [a for _, a in due], "saved": saved})
+
+        def close(self) -> None:
+            pass
+
+    return BestSoFar()
 
 
 def running_best(epochs: DataFrame, late: str) -> DataFrame:
@@ -77,5 +82,5 @@ def running_best(epochs: DataFrame, late: str) -> DataFrame:
     own = epochs.select(F.col("run").cast("bigint").alias("run"), F.col("epoch").cast("timestamp").alias("epoch"), F.col("accuracy").cast("double").alias("accuracy"))
     # Times in microseconds, which know no zones.
     timed = own.withWatermark("epoch", late).withColumn("at", F.unix_micros("epoch"))
-    found = timed.groupBy("run").transformWithStateInPandas(BestSoFar(), OUT, "Append", "EventTime")
+    found = timed.groupBy("run").transformWithStateInPandas(_processor(), OUT, "Append", "EventTime")
     return found.select("run", F.timestamp_micros("at").alias("epoch"), "accuracy", "saved")
