@@ -206,3 +206,24 @@ def test_masks_on_chunks_equal_masks_of_cells(spark, kind):
     for length in (1, 5, 100):
         got = {(r.k, f, r.t): (r.re[f], r.im[f]) for r in separation.masked_frames(frames, ws, hs, kind, kernel=4, length=length).collect() for f in range(bins)}
         assert got.keys() == want.keys() and all(np.allclose(got[c], want[c]) for c in want)
+
+
+@pytest.mark.parametrize("name", ["normalized", "kullback-leibler", "itakura-saito", "frobenius", "frobenius-mu"])
+def test_a_stack_is_its_clips_each_to_its_own_end(name):
+    rng, rule = np.random.default_rng(8), factors.RULES[name]()
+    v = rng.random((6, 13, 2)) @ rng.random((6, 2, BINS)) + 0.01
+    w, h = (np.tile(x, (6, 1, 1)) for x in start(13, 2))
+    ws, hs, taken = factors.stacked(v, w, h, rule, 200, 0.02)
+    for i in range(6):
+        alone = factors.local(v[i], w[i], h[i], rule, 200, 0.02)
+        assert np.allclose(ws[i], alone[0]) and np.allclose(hs[i], alone[1]) and taken[i] == alone[2]
+    assert taken.max() < 200
+
+
+def test_ward_of_groups_of_several_shapes(spark):
+    rng = np.random.default_rng(9)
+    groups = {g: rng.random((2 + g % 4, 3 + g % 2)) for g in range(30)}
+    rows = [(g, 2 * k, f"f{i}", float(v)) for g, x in groups.items() for (k, i), v in np.ndenumerate(x)]
+    found = {(r.group, r.k): r.cluster for r in cluster.cluster_ward(spark.createDataFrame(rows, "group long, k int, i string, x double").repartition(3), 2).collect()}
+    assert found == {(g, 2 * k): c for g, x in groups.items() for k, c in enumerate(ward_by_members(x, 2))}
+    assert cluster.wards(np.stack([groups[1], groups[5]]), 2).tolist() == [ward_by_members(groups[g], 2).tolist() for g in (1, 5)]

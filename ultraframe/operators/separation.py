@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import clip, decibel_ratio, dot, sigmoid
-from .factors import CHUNK, EPS, CoordinateDescent, Multiplicative, Rule, local, rows_of
+from .factors import CHUNK, EPS, CoordinateDescent, Multiplicative, Rule, as_lists, local, packed, rows_of, stacked, stacks
 from .spectral import framed, istft, unit_phase
 
 
@@ -65,16 +64,20 @@ def kl_step(v: DataFrame, w: DataFrame, h: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def start_factors(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative double singular vectors; zeros become the mean of v."""
+    """Non-negative double singular vectors of a spectrum, or of each of a stack; zeros become its mean."""
     u, s, vt = np.linalg.svd(v, full_matrices=False)
-    w, h = np.full((v.shape[0], k), v.mean()), np.full((k, v.shape[1]), v.mean())
-    for i in range(min(k, len(s))):
-        x, y = u[:, i], vt[i]
-        best = max(((np.maximum(g * x, 0), np.maximum(g * y, 0)) for g in (1, -1)), key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
-        a, b = np.linalg.norm(best[0]), np.linalg.norm(best[1])
-        if a * b > 0:
-            scale = np.sqrt(s[i] * a * b)
-            w[:, i], h[i] = np.where(best[0] > 0, scale * best[0] / a, v.mean()), np.where(best[1] > 0, scale * best[1] / b, v.mean())
+    mean = v.mean(axis=(-2, -1))[..., None]
+    w, h = (np.ones((*v.shape[:-2], *size)) * mean[..., None] for size in ((v.shape[-2], k), (k, v.shape[-1])))
+    norm = lambda x: np.linalg.norm(x, axis=-1, keepdims=True)
+    for i in range(min(k, s.shape[-1])):
+        x, y = u[..., i], vt[..., i, :]
+        (x, y), (p, q) = ((np.maximum(g * x, 0), np.maximum(g * y, 0)) for g in (1, -1))
+        first = norm(x) * norm(y) >= norm(p) * norm(q)
+        x, y = np.where(first, x, p), np.where(first, y, q)
+        a, b = norm(x), norm(y)
+        there = a * b > 0
+        scale, a, b = np.sqrt(s[..., i, None] * a * b), np.where(there, a, 1.0), np.where(there, b, 1.0)
+        w[..., i], h[..., i, :] = np.where(there & (x > 0), scale * x / a, mean), np.where(there & (y > 0), scale * y / b, mean)
     return np.maximum(w, EPS), np.maximum(h, EPS)
 
 
@@ -91,12 +94,19 @@ def factorize(v: np.ndarray, k: int, beta: float = 1.0, steps: int = 50, toleran
 def fit(frames: DataFrame, k: int, beta: float = 1.0, steps: int = 50) -> DataFrame:
     """clip_id, w, h (row by row) and error for the magnitudes (clip_id, t, mag array); one clip is one group, so for short clips; factors.factorize takes long ones."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(group.sort_values("t")["mag"].to_numpy()).T
-        w, h, error = factorize(v, k, beta, steps)
-        return pd.DataFrame({"clip_id": group["clip_id"].iloc[:1], "w": [w.ravel().tolist()], "h": [h.ravel().tolist()], "error": [error]})
+    rule = CoordinateDescent() if beta == 2 else Multiplicative(beta)
 
-    return frames.select("clip_id", "t", "mag").groupBy("clip_id").applyInPandas(run, "clip_id bigint, w array<double>, h array<double>, error double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, (v,) in stacks(batch, "v", also=("n",)):
+                v = v.reshape(len(own), batch.column("n")[int(own[0])].as_py(), -1)
+                w, h = start_factors(np.ascontiguousarray(v.swapaxes(1, 2)), k)
+                w, h, _ = stacked(v, w, h.swapaxes(1, 2), rule, steps, 1e-4)
+                error = np.linalg.norm(v - h @ w.swapaxes(1, 2), axis=(1, 2)) / np.maximum(np.linalg.norm(v, axis=(1, 2)), EPS)
+                yield pa.record_batch([batch.column("clip_id").take(pa.array(own)), as_lists(w), as_lists(h.swapaxes(1, 2)), pa.array(error)], names=["clip_id", "w", "h", "error"])
+
+    # Clips of one shape are fitted in stacks, each to its own end.
+    return packed(frames, length=1 << 31).select("clip_id", "n", "v").mapInArrow(run, "clip_id bigint, w array<double>, h array<double>, error double")
 
 
 def component_power(w: DataFrame, h: DataFrame) -> DataFrame:
