@@ -111,3 +111,16 @@ def test_pooling_in_two_directions(spark, how):
     parts = {(t, k): x[2 * t : 2 * t + 2, 3 * k : 3 * k + 3] for t in range(2) for k in range(2)}
     value = {"avg": np.mean, "max": np.max, "avg+max": lambda p: p.mean() + p.max()}[how]
     assert found.keys() == parts.keys() and all(np.isclose(found[p], value(parts[p])) for p in parts)
+
+
+def test_frames_in_chunks_equal_cells(spark):
+    """A block over chunks shorter than the clips, with neighbours, equals the block over cells."""
+    rng = np.random.default_rng(6)
+    rows = [(i, t, rng.random(5).tolist()) for i, n in enumerate((1, 4, 9, 13)) for t in range(n)]
+    frames = spark.createDataFrame(rows, "clip_id long, t int, mag array<double>").repartition(3)
+    kernels = [spark.createDataFrame([(i - 1, j - 1, c, o, float(rng.normal())) for i in range(3) for j in range(3) for c in range(a) for o in range(b)], "dt int, dk int, c int, out int, weight double") for a, b in ((1, 2), (2, 3))]
+    cells = frames.selectExpr("clip_id", "t", "posexplode(mag) as (k, x)").selectExpr("clip_id", "t", "k", "0 as c", "x")
+    want = {(r.clip_id, r.t, r.k, r.c): r.x for r in pooling.conv_block(cells, kernels).collect()}
+    for length in (4, 256):
+        found = {(r.clip_id, r.t, r.k, r.c): r.x for r in pooling.conv_frames(frames, kernels, length=length).collect()}
+        assert found.keys() == want.keys() and all(np.isclose(found[p], want[p]) for p in want)

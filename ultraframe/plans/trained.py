@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax, relu
-from ..operators import batches, evaluate, pooling
+from ..operators import batches, evaluate, pooling, spectral
 from ..sources import tables as T
 from ..sources.storage import shared_folder
 from . import oracles as O
@@ -49,8 +49,8 @@ def _kernel(spark: SparkSession, channels: int, out: int, seed: int) -> DataFram
 
 
 def conv_block(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _cells(spark, sf).select("clip_id", "t", "k", F.lit(0).alias("c"), F.col("mag").alias("x"))
-    found = pooling.conv_block(cells, [_kernel(spark, 1, 2, 0), _kernel(spark, 2, 3, 1)])
+    frames = spectral.magnitude(spectral.stft(T.clips(spark, sf), T.N_FFT, T.HOP))
+    found = pooling.conv_frames(frames, [_kernel(spark, 1, 2, 0), _kernel(spark, 2, 3, 1)])
     return found.select("clip_id", "t", "k", "c", r("x", 5))
 
 
