@@ -88,3 +88,32 @@ def test_percentiles_by_counting(spark, q, bins):
 
 def test_no_values(spark):
     assert counted.percentiles(spark.createDataFrame([], "g string, x double"), ["g"], 0.5, F.floor("x")).count() == 0
+
+
+def percentiles_of(spark, groups, q, chunk=None):
+    """Percentiles by counting, of rows of numbers or of arrays of so many numbers."""
+    rows = [(g, v if chunk else float(v)) for g, values in groups.items() for v in ([[float(x) for x in values[i : i + chunk]] for i in range(0, len(values), chunk)] if chunk else values)]
+    frame = spark.createDataFrame(rows, f"g bigint, x {'array<double>' if chunk else 'double'}").repartition(3)
+    return {r.g: r.value for r in counted.percentiles(frame, ["g"], q, F.floor(F.col("x") * 32) if not chunk else None).collect()}
+
+
+def test_counts_are_far_fewer_than_the_values(spark, monkeypatch):
+    """Of many short clips too, whose values are all different."""
+    groups, seen, chosen = {g: np.random.default_rng(g).uniform(-120, 0, 117) for g in range(40)}, [], counted._chosen
+    monkeypatch.setattr(counted, "_chosen", lambda table, keys, *more: seen.append(table.count()) or chosen(table, keys, *more))
+    found = percentiles_of(spark, groups, 0.1)
+    assert all(np.isclose(found[g], np.percentile(v, 10), rtol=1e-12) for g, v in groups.items())
+    assert 0 < max(seen) <= 40 * 117 / 4
+
+
+@pytest.mark.parametrize("chunk", [None, 9])
+@pytest.mark.parametrize("groups_sent", [0, 10_000])
+def test_percentiles_of_groups_of_all_sizes(spark, monkeypatch, chunk, groups_sent):
+    """Dealt out with their values and sent to all tasks; those of over 150 values are large."""
+    monkeypatch.setattr(counted, "GROUPS", groups_sent)
+    monkeypatch.setattr(counted, "VALUES", 150)
+    groups = {n: np.random.default_rng(n).choice([-3.0, 7.5, 8.0], n) if n % 3 == 0 else np.random.default_rng(n).normal(size=n) * 9 for n in (*range(1, 40), 117, 150, 151, 900, 901)}
+    for q in (0.1, 0.5):
+        found = percentiles_of(spark, groups, q, chunk)
+        assert found.keys() == groups.keys()
+        assert all(np.isclose(found[g], np.percentile(v, 100 * q), rtol=1e-12, atol=1e-12) for g, v in groups.items())

@@ -35,11 +35,12 @@ def noise_floors(cells: DataFrame, audible: float = AUDIBLE_HZ, share: float = F
     return _thresholds(out, snr_db, least_db)
 
 
-def counted_floors(cells: DataFrame, audible: float = AUDIBLE_HZ, share: float = FLOOR_SHARE, snr_db: float = SNR_DB, least_db: float = MIN_LEVEL_DB) -> DataFrame:
-    """noise_floors by counting, for clips of any length: no buffer holds the values of a clip."""
-    band = F.when(F.col("freq") <= audible, "audible").otherwise("ultra")
-    values = cells.select("clip_id", F.explode(F.array(F.lit("global"), band)).alias("band"), F.col("mag_db").alias("x"))
-    found = percentiles(values, ["clip_id", "band"], share, F.floor(F.col("x") * 32))
+def counted_floors(frames: DataFrame, rate: int, n_fft: int, audible: float = AUDIBLE_HZ, share: float = FLOOR_SHARE, snr_db: float = SNR_DB, least_db: float = MIN_LEVEL_DB) -> DataFrame:
+    """noise_floors by counting, of frames (clip_id, mag_db array) of clips of any length: no buffer holds the values of a clip, and no cell is a row before it is counted."""
+    low = lambda k: k * float(rate) / n_fft <= audible
+    parts = {"global": F.col("mag_db"), "audible": F.filter("mag_db", lambda _, k: low(k)), "ultra": F.filter("mag_db", lambda _, k: ~low(k))}
+    values = frames.select("clip_id", F.inline(F.array(*[F.struct(F.lit(name).alias("band"), x.alias("x")) for name, x in parts.items()])))
+    found = percentiles(values, ["clip_id", "band"], share)
     of = lambda name: F.max(F.when(F.col("band") == name, F.col("value"))).alias(f"noise_{name}_db")
     return _thresholds(found.groupBy("clip_id").agg(*map(of, ("global", "audible", "ultra"))), snr_db, least_db)
 

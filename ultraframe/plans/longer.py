@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, long
-from ..operators.spectral import magnitude
+from ..operators.spectral import frame_decibels, magnitude, stft
 from ..sources import tables as T
 from . import oracles as O
-from .queries import AUDIBLE, LEAST, SNR, _db, r
+from .queries import AUDIBLE, LEAST, SNR, r
 
 #: Samples of a block, and the rate that clips of 64 Hz are brought to.
 BLOCK, TO = 10, 48
@@ -41,7 +41,8 @@ def resampled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def counted_floors(spark: SparkSession, sf: str) -> DataFrame:
-    found = activity.counted_floors(_db(spark, sf), AUDIBLE, snr_db=SNR, least_db=LEAST)
+    frames = frame_decibels(magnitude(stft(T.clips(spark, sf), T.N_FFT, T.HOP)).select("clip_id", "mag"))
+    found = activity.counted_floors(frames.select("clip_id", "mag_db"), T.RATE, T.N_FFT, AUDIBLE, snr_db=SNR, least_db=LEAST)
     return found.select("clip_id", *[r(c, 4) for c in ("noise_global_db", "noise_audible_db", "noise_ultra_db", "global_threshold_db", "ultra_threshold_db")])
 
 
