@@ -247,3 +247,15 @@ def test_config_is_checked(bad):
     with pytest.raises(ValueError):
         spectral.check_config(*bad)
     spectral.check_config(64, 16, 4)
+
+
+def test_decibels_are_made_of_frames_before_cells(spark):
+    """The window of a clip's loudest cell orders frames; its cells equal those of decibels(cells)."""
+    from ultraframe.plans.queries import _cells, _db
+
+    db = _db(spark, SF)
+    plan = db._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate") < plan.index("Window")  # from the top: cells come out of the window
+    columns = ["clip_id", "class", "t", "k", "freq", "time_s", "mag", "mag_db"]
+    some = "clip_id < 20"
+    assert set(db.where(some).select(columns).collect()) == set(spectral.decibels(_cells(spark, SF)).where(some).select(columns).collect())

@@ -54,7 +54,8 @@ def _thresholds(floors: DataFrame, snr_db: float, least_db: float) -> DataFrame:
 def frames(cells: DataFrame, floors: DataFrame, audible: float = AUDIBLE_HZ, playing_db: float = PLAYING_DB) -> DataFrame:
     """clip_id, t, time_s, playing, ultra, and the highest frequency over the global threshold."""
     low = F.col("freq") <= audible
-    joined = cells.join(floors.select("clip_id", "global_threshold_db", "ultra_threshold_db"), "clip_id")
+    # One row a clip is held; cells pass by unsorted.
+    joined = cells.join(floors.select("clip_id", "global_threshold_db", "ultra_threshold_db").hint("shuffle_hash"), "clip_id")
     return joined.groupBy("clip_id", "t", "time_s").agg(
         (F.coalesce(F.max(F.when(low, F.col("mag_db"))), F.lit(float("-inf"))) > playing_db).alias("playing"),
         F.coalesce(F.bool_or(F.when(~low, F.col("mag_db") > F.col("ultra_threshold_db"))), F.lit(False)).alias("ultra"),
